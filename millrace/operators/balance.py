@@ -122,8 +122,5 @@ def key_counts(df: DataFrame, fields: list[str], record: str) -> DataFrame:
 def heavy_keys(df: DataFrame, fields: list[str], record: str, share: int = 50) -> DataFrame:
     """field_name, key_value of every value that at least one in `share` rows of df holds (null is no value, but its
     rows count). At most `share` values per field can be heavy."""
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    totals = total.select(F.explode(F.array(*map(F.lit, fields))).alias("field_name"), "total")
-    counts = key_counts(df, fields, record)
-    # a row per field: of proven size
-    return counts.join(F.broadcast(totals), "field_name").where(F.col("n_rows") * share >= F.col("total")).select("field_name", "key_value")
+    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
+    return key_counts(df, fields, record).where(F.col("n_rows") * share >= total).select("field_name", "key_value")
