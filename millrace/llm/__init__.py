@@ -1,0 +1 @@
+"""Operators for corpora and item sets; nothing outside this package imports it."""
