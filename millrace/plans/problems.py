@@ -19,16 +19,18 @@ N_CATEGORIES = 360
 
 def _features_sql(n: int = N_CATEGORIES) -> str:
     width = max(3, len(str(n - 1)))
-    columns = ["coalesce(sum(lines) FILTER (WHERE idx = {i}), 0)::BIGINT AS lines_{i:0{w}d}", "coalesce(sum(purchases) FILTER (WHERE idx = {i}), 0)::BIGINT AS purchases_{i:0{w}d}", "(min(days) FILTER (WHERE idx = {i}))::INTEGER AS days_{i:0{w}d}"]
+    columns = ["coalesce(lines[{i}], 0) AS lines_{i:0{w}d}", "coalesce(purchases[{i}], 0) AS purchases_{i:0{w}d}", "days[{i}]::INTEGER AS days_{i:0{w}d}"]
     wide = ",\n".join(c.format(i=i, w=width) for c in columns for i in range(n))
     return f"""
 WITH types AS (SELECT sbc_id, row_number() OVER (ORDER BY sbc_id) - 1 AS idx FROM (SELECT DISTINCT sbc_id FROM category_sub WHERE sbc_id IS NOT NULL)),
 lines AS (SELECT customer_master_id, transaction_header_key, transaction_detail_key, original_sku_category_id, max(transaction_dt) AS dt
           FROM t_detail WHERE customer_master_id IS NOT NULL GROUP BY ALL),
-cells AS (SELECT customer_master_id, idx, count(*) AS lines, count(DISTINCT transaction_header_key) AS purchases, DATE '2025-12-31' - max(dt) AS days
-          FROM lines LEFT JOIN types ON sbc_id = original_sku_category_id GROUP BY customer_master_id, idx)
+cells AS (SELECT customer_master_id, coalesce(idx, -1) AS idx, count(*) AS lines, count(DISTINCT transaction_header_key) AS purchases, DATE '2025-12-31' - max(dt) AS days
+          FROM lines LEFT JOIN types ON sbc_id = original_sku_category_id GROUP BY customer_master_id, idx),
+vectors AS (SELECT customer_master_id, map_from_entries(list((idx, lines))) AS lines, map_from_entries(list((idx, purchases))) AS purchases, map_from_entries(list((idx, days))) AS days
+            FROM cells GROUP BY customer_master_id)
 SELECT customer_master_id, {wide}
-FROM cells GROUP BY customer_master_id"""
+FROM vectors"""
 
 
 @query("p1_features", _features_sql())
