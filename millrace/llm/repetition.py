@@ -271,9 +271,16 @@ def _labels(units: np.ndarray, repeated: np.ndarray) -> np.ndarray:
 
 
 def fit_forest(stats: DataFrame, key: str, rows: int = SAMPLE_ROWS) -> IsolationForest | None:
-    """The forest of a sample of at most `rows` rows, those of the smallest hashes of key and counts; None without rows."""
-    order = F.xxhash64(F.col(key).cast("string"), *COUNTS)
-    sample = stats.orderBy(order, *COUNTS).limit(rows).select("units", "repeated", *SHARES).collect()  # bounded by rows
+    """The forest of a sample of at most `rows` different rows, those of the smallest hashes; None without rows.
+
+    Rows whose hash is beyond what about twice the sample needs are left out in the tasks, and copies combined, so that
+    what reaches the driver is bounded by the sample and not by the number of tasks.
+    """
+    n = stats.count()
+    hashed = stats.withColumn("_hash", F.xxhash64(F.col(key).cast("string"), *COUNTS))
+    near = hashed.where(F.shiftrightunsigned("_hash", 1) < min(2**63 - 1, (2 * rows << 63) // n)) if n > rows else hashed
+    near = near.groupBy("_hash").agg(*(F.first(c).alias(c) for c in ("units", "repeated", *SHARES)))
+    sample = near.orderBy("_hash").limit(rows).select("units", "repeated", *SHARES).collect()  # bounded by rows
     if not sample:
         return None
     m = np.array([tuple(r) for r in sample], float)
