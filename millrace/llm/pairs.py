@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.arrowops import gathered, group_starts, local_aggregate
+from millrace.session import ensure_checkpoint_dir
 
 #: Pairs a task holds before it combines them.
 STEP_PAIRS = 1 << 21
@@ -78,9 +79,11 @@ def pair_counts(df: DataFrame, basket: str, item: str) -> DataFrame:
 def pair_statistics(df: DataFrame, basket: str, item: str, a: str = "item_a", b: str = "item_b") -> DataFrame:
     """For every two items a < b of a common basket: n_both, n_a, n_b, n_baskets, lift and pmi (natural logarithm).
 
-    lift = n_both * n_baskets / (n_a * n_b), the ratio to the number expected by chance. No rows for empty input.
+    lift = n_both * n_baskets / (n_a * n_b), the ratio to the number expected by chance. No rows for empty input. The
+    counts, from which pairs, marginals and total are taken, are made once, into a checkpoint.
     """
-    counts = pair_counts(df, basket, item)
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = pair_counts(df, basket, item).checkpoint()
     single = counts.where("a = b")
     total = counts.where("a IS NULL").agg(F.sum("n").alias("n_baskets")).scalar()
     joined = (
