@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -56,17 +57,42 @@ def ints(column: pa.Array, null: int = 0) -> np.ndarray:
     """An integer or date column as int64; null where it is null."""
     if pa.types.is_date32(column.type):
         column = column.cast(pa.int32())
+    column = column.cast(pa.int64())
     if column.null_count:
         column = column.fill_null(null)
-    return column.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+    return column.to_numpy(zero_copy_only=False)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], names: list[str]) -> dict[str, np.ndarray] | None:
-    """All rows of a task as int64 arrays; None if there are none."""
-    parts = [[ints(b.column(n)) for n in names] for b in batches if b.num_rows]
-    if not parts:
-        return None
-    return {n: np.concatenate(c) for n, c in zip(names, zip(*parts))}
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = FLUSH_ROWS) -> Iterator[pa.Table]:
+    """The rows of a task that are sorted by keys, in tables of about `rows` rows that split no group of equal keys.
+
+    With the sort left to Spark, which spills, a task of any size needs memory for one table, or for one group where that
+    is larger. Null is a key.
+    """
+    held: list[pa.RecordBatch] = []
+    n, least = 0, rows
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n < least:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        last = np.ones(n, bool)
+        for k in keys:
+            column, value = table[k], table[k][n - 1]
+            same = pc.equal(column, value).fill_null(False) if value.is_valid else pc.is_null(column)
+            last &= same.to_numpy()
+        if cut := n - int(last.sum()):
+            yield table.slice(0, cut)
+        held, n = table.slice(cut).to_batches(), n - cut
+        least = max(rows, 2 * n)
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def columns_of(table: pa.Table, names: list[str], null: int = 0) -> list[np.ndarray]:
+    """Columns as int64; null where they are null."""
+    return [ints(table[n].combine_chunks() if table[n].num_chunks != 1 else table[n].chunk(0), null) for n in names]
 
 
 def group_starts(*sorted_columns: np.ndarray) -> np.ndarray:

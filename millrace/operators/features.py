@@ -11,16 +11,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.arrowops import gathered, group_starts, local_aggregate
+from millrace.arrowops import columns_of, group_starts, local_aggregate, whole_groups
 
 #: More types than this are refused: each one becomes three columns, and the dictionary is broadcast.
 MAX_TYPES = 5000
 #: Cells of a block of dense vectors while they are expanded.
 BLOCK_CELLS = 1 << 20
+#: Sparse vectors that are merged at once.
+VECTORS = 1 << 15
 #: Stands for "no type" and "no day" in int64 arrays.
 NONE = -(1 << 40)
 
@@ -75,60 +78,52 @@ def sparse_vectors(events: DataFrame, types: DataFrame, *, entity: str, kind: st
         F.when(F.col("idx").isNotNull(), F.col("record")).alias("record"), F.when(F.col("idx").isNotNull(), F.col("at")).alias("at"),
     )
     # A hot entity's rows are spread by their baskets; copies shrink before they move.
-    rows = local_aggregate(rows, ["entity", "idx", "basket", "record"], {"at": "max"}).repartition("entity", "idx", "basket")
+    keys = ["entity", "idx", "basket"]
+    rows = local_aggregate(rows, [*keys, "record"], {"at": "max"}).repartition(*keys).sortWithinPartitions(*keys, "record")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, nulls = [], []
-        for b in batches:
-            kept.append(b)
-        if not kept:
-            return
-        table = pa.Table.from_batches(kept)
-        basket_null = table["basket"].is_null().to_numpy(zero_copy_only=False)
-        record_null = table["record"].is_null().to_numpy(zero_copy_only=False)
-        c = gathered(iter(table.combine_chunks().to_batches()), ["entity", "idx", "basket", "record"])
-        day = table["at"].combine_chunks().cast(pa.int32()).cast(pa.int64()).fill_null(NONE).to_numpy(zero_copy_only=False)
-        del kept, nulls, table
-        order = np.lexsort((c["record"], record_null, c["basket"], basket_null, c["idx"], c["entity"]))
-        e, i, b, r, d, bn, rn = (x[order] for x in (c["entity"], c["idx"], c["basket"], c["record"], day, basket_null, record_null))
-        line = group_starts(e, i, bn, b, rn, r)
-        d = np.maximum.reduceat(d, line)
-        e, i, b, bn = e[line], i[line], b[line], bn[line]
-        purchase = np.zeros(len(line), np.int64)
-        purchase[group_starts(e, i, bn, b)] = 1
-        purchase[bn] = 0
-        pair = group_starts(e, i)
-        lines = np.diff(np.append(pair, len(line)))
-        yield from _vectors(e[pair], i[pair], lines, np.add.reduceat(purchase, pair), np.maximum.reduceat(d, pair))
+        # a pair of entity and type that is cut between two baskets becomes two vectors, which merge later
+        for table in whole_groups(batches, keys):
+            e, i, b, r = columns_of(table, [*keys, "record"])
+            (d,) = columns_of(table, ["at"], NONE)
+            bn, rn = (table[c].is_null().to_numpy() for c in ("basket", "record"))
+            line = group_starts(e, i, bn, b, rn, r)
+            d = np.maximum.reduceat(d, line)
+            e, i, b, bn = e[line], i[line], b[line], bn[line]
+            purchase = np.zeros(len(line), np.int64)
+            purchase[group_starts(e, i, bn, b)] = 1
+            purchase[bn] = 0
+            pair = group_starts(e, i)
+            lines = np.diff(np.append(pair, len(line)))
+            yield from _vectors(e[pair], i[pair], lines, np.add.reduceat(purchase, pair), np.maximum.reduceat(d, pair))
 
     return rows.mapInArrow(run, VECTOR)
 
 
-def _flat(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
-    """Entity, idx, lines, purchases and last of all vectors of a task, merged and sorted by entity and idx."""
-    parts = []
-    for b in batches:
-        if b.num_rows:
-            sizes = b.column("idx").value_lengths().to_numpy(zero_copy_only=False)
-            entity = np.repeat(b.column("entity").to_numpy(zero_copy_only=False), sizes)
-            parts.append([entity, *(b.column(n).flatten().to_numpy(zero_copy_only=False) for n in VECTOR.names[1:])])
-    if not parts:
-        return None
-    e, i, n, p, d = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((i, e))
-    e, i, n, p, d = (x[order] for x in (e, i, n, p, d))
-    at = group_starts(e, i)
-    return e[at], i[at], np.add.reduceat(n, at), np.add.reduceat(p, at), np.maximum.reduceat(d, at)
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Entity, idx, lines, purchases and last of vectors sorted by entity, merged, some whole entities at a time."""
+    for table in whole_groups(batches, ["entity"], VECTORS):
+        sizes = np.asarray(pc.list_value_length(table["idx"]))
+        e = np.repeat(table["entity"].to_numpy(), sizes)
+        i, n, p, d = (pc.list_flatten(table[c]).to_numpy() for c in VECTOR.names[1:])
+        order = np.lexsort((i, e))
+        e, i, n, p, d = (x[order] for x in (e, i, n, p, d))
+        at = group_starts(e, i)
+        yield e[at], i[at], np.add.reduceat(n, at), np.add.reduceat(p, at), np.maximum.reduceat(d, at)
+
+
+def _by_entity(vectors: DataFrame) -> DataFrame:
+    return vectors.repartition("entity").sortWithinPartitions("entity")
 
 
 def merge_vectors(vectors: DataFrame) -> DataFrame:
     """One vector per entity. Purchases add up, so vectors that are merged must not share a purchase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (flat := _flat(batches)) is not None:
+        for flat in _flat(batches):
             yield from _vectors(*flat)
 
-    return vectors.repartition("entity").mapInArrow(run, VECTOR)
+    return _by_entity(vectors).mapInArrow(run, VECTOR)
 
 
 def expand_vectors(vectors: DataFrame, n_types: int, as_of: str, entity: str = "entity") -> DataFrame:
@@ -144,9 +139,10 @@ def expand_vectors(vectors: DataFrame, n_types: int, as_of: str, entity: str = "
     block = max(1, BLOCK_CELLS // max(1, n_types))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (flat := _flat(batches)) is None:
-            return
-        e, i, n, p, d = flat
+        for e, i, n, p, d in _flat(batches):
+            yield from dense(e, i, n, p, d)
+
+    def dense(e: np.ndarray, i: np.ndarray, n: np.ndarray, p: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = group_starts(e)
         row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(e))))
         for low in range(0, len(first), block):
@@ -154,18 +150,18 @@ def expand_vectors(vectors: DataFrame, n_types: int, as_of: str, entity: str = "
             a, b = np.searchsorted(row, (low, high))
             known = np.flatnonzero(i[a:b] >= 0) + a
             cell = (i[known], row[known] - low)
-            dense = np.zeros((2, n_types, high - low), np.int64)
-            dense[0][cell], dense[1][cell] = n[known], p[known]
+            counts = np.zeros((2, n_types, high - low), np.int64)
+            counts[0][cell], counts[1][cell] = n[known], p[known]
             days, bought = np.zeros((n_types, high - low), np.int32), np.zeros((n_types, high - low), bool)
             dated = known[d[known] != NONE]
             cell = (i[dated], row[dated] - low)
             days[cell], bought[cell] = (end - d[dated]).astype(np.int32), True
             arrays = [pa.array(e[first[low:high]])]
-            arrays += [pa.array(column) for matrix in dense for column in matrix]
+            arrays += [pa.array(column) for matrix in counts for column in matrix]
             arrays += [pa.array(column, mask=~there) for column, there in zip(days, bought)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return vectors.repartition("entity").mapInArrow(run, schema)
+    return _by_entity(vectors).mapInArrow(run, schema)
 
 
 def entity_features(events: DataFrame, types: DataFrame, *, type_id: str, entity: str, kind: str, at: str, record: str, basket: str, as_of: str) -> DataFrame:

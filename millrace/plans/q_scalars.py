@@ -159,7 +159,7 @@ def json_functions(t: Tables) -> DataFrame:
 
 @query("typeof_expr", "SELECT 'bigint' AS a, 'double' AS b, 'string' AS c, 'timestamp_ntz' AS d, 'array<float>' AS e")
 def typeof_expr(t: Tables) -> DataFrame:
-    one = t.lineitem.limit(1).select(M.typeof("l_orderkey").alias("a"), M.typeof("l_quantity").alias("b"), M.typeof("l_returnflag").alias("c"), M.typeof("l_shipdate").alias("d"))
+    one = t.lineitem.select(M.typeof("l_orderkey").alias("a"), M.typeof("l_quantity").alias("b"), M.typeof("l_returnflag").alias("c"), M.typeof("l_shipdate").alias("d")).distinct()
     return one.withColumn("e", F.lit("array<float>") if t.embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else F.lit("?"))
 
 

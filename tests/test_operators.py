@@ -119,3 +119,21 @@ def test_filters_reach_the_scan(spark):
     path = "/root/testdata/sf0.001/lineitem.parquet"
     plan = spark.read.parquet(path).where(F.col("l_orderkey").isin(1, 2)).select("l_orderkey", "l_tax")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(l_orderkey" in plan and "ReadSchema: struct<l_orderkey:bigint,l_tax:double>" in plan
+
+
+def test_whole_groups_split_no_group():
+    import random
+
+    import pyarrow as pa
+
+    from millrace.arrowops import columns_of, whole_groups
+
+    rng = random.Random(6)
+    data = sorted(((rng.choice([None, 1, 2, 3]), rng.choice([None, *range(9)])) for _ in range(500)), key=lambda r: tuple((x is not None, x or 0) for x in r))
+    table = pa.table({"a": pa.array([r[0] for r in data], pa.int64()), "b": pa.array([r[1] for r in data], pa.int64())})
+    for rows_ in (1, 7, 40, 10**6):
+        out = list(whole_groups(iter(table.to_batches(max_chunksize=13)), ["a", "b"], rows_))
+        assert pa.concat_tables(out).equals(table)
+        groups = [set(zip(t["a"].to_pylist(), t["b"].to_pylist())) for t in out]
+        assert sum(map(len, groups)) == len(set(data))
+    assert list(whole_groups(iter([]), ["a"])) == [] and columns_of(table, ["a"], -1)[0].min() == -1
