@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.arrowops import gathered, group_starts, local_aggregate
+from millrace.arrowops import columns_of, group_starts, local_aggregate, whole_groups
 from millrace.session import ensure_checkpoint_dir
 
 #: Pairs a task holds before it combines them.
@@ -40,13 +40,13 @@ def pair_counts(df: DataFrame, basket: str, item: str) -> DataFrame:
     for its items and STEP_PAIRS pairs, not for all its pairs.
     """
     rows = df.select(F.col(basket).cast("bigint").alias("basket"), F.col(item).cast("bigint").alias("item"))
-    rows = local_aggregate(rows.where("basket IS NOT NULL AND item IS NOT NULL"), ["basket", "item"]).repartition("basket")
+    rows = local_aggregate(rows.where("basket IS NOT NULL AND item IS NOT NULL"), ["basket", "item"]).repartition("basket").sortWithinPartitions("basket", "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (c := gathered(batches, ["basket", "item"])) is None:
-            return
-        order = np.lexsort((c["item"], c["basket"]))
-        basket, item = c["basket"][order], c["item"][order]
+        for table in whole_groups(batches, ["basket"]):
+            yield from count(*columns_of(table, ["basket", "item"]))
+
+    def count(basket: np.ndarray, item: np.ndarray) -> Iterator[pa.RecordBatch]:
         at = group_starts(basket, item)
         basket, item = basket[at], item[at]
         first = group_starts(basket)
@@ -58,8 +58,7 @@ def pair_counts(df: DataFrame, basket: str, item: str) -> DataFrame:
         while len(place):
             for low in range(0, len(place), STEP_PAIRS):
                 part = place[low : low + STEP_PAIRS]
-                key = code[part] * wide + code[part + shift]
-                key, n = np.unique(key, return_counts=True)
+                key, n = np.unique(code[part] * wide + code[part + shift], return_counts=True)
                 held.append((dictionary[key // wide], dictionary[key % wide], n))
                 size += len(key)
                 if size > STEP_PAIRS:
