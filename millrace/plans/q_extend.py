@@ -182,3 +182,30 @@ def table_from_pandas(t: Tables) -> DataFrame:
     """A small table of fixed size through pandas and back."""
     frame: pd.DataFrame = t.region.toPandas()
     return t.spark.createDataFrame(frame).select(F.col("r_regionkey").cast("bigint").alias("k"), F.col("r_name").alias("s"))
+
+
+@query("avro_roundtrip", "SELECT event_id, ts, user_id, event_type, value FROM events")
+def avro_roundtrip(t: Tables) -> DataFrame:
+    """Written and read as Avro container files, without Spark's Avro package."""
+    from millrace.sources.avro import AvroSource
+
+    t.spark.dataSource.register(AvroSource)
+    path = W.scratch(t.spark, "avro")
+    t.events.select("event_id", "ts", "user_id", "event_type", "value").write.format("avro_files").mode("overwrite").save(path)
+    return t.spark.read.format("avro_files").load(path)
+
+
+@query("call_procedure", "SELECT column_name, n_rows FROM (SELECT 'r_regionkey' AS column_name, count(*) AS n_rows FROM region UNION ALL SELECT 'r_name', count(*) FROM region)")
+def call_procedure(t: Tables) -> DataFrame:
+    from millrace.plans.statements import execute
+
+    return execute(t, "CALL SYSCS_UTIL.COLLECT_STATISTICS('region')").select("column_name", "n_rows")
+
+
+@query("materialized_scroll", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders")
+def materialized_scroll(t: Tables) -> DataFrame:
+    """The numbered rows of a scroll-insensitive result."""
+    from millrace.operators.results import ScrollResult
+
+    d = t.orders.select("o_orderkey", "o_totalprice")
+    return ScrollResult(d, [F.desc("o_totalprice"), F.col("o_orderkey")]).rows.select("o_orderkey", F.col("_place").alias("place"))

@@ -116,3 +116,18 @@ class _NaturalNumbersReader(DataSourceReader):
         low, high = partition.value
         for at in range(low, high, 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(range(at + 1, min(at + 10_000, high) + 1), pa.int64())], names=["n"])
+
+
+def from_rdd(rdd, schema: T.StructType | str) -> DataFrame:
+    """An RDD of rows as a table."""
+    return SparkSession.active().createDataFrame(rdd, schema)
+
+
+def refresh(spark: SparkSession, path: str) -> None:
+    """Forget what is known of the files below path."""
+    spark.catalog.refreshByPath(path)
+
+
+def is_pinned(df: DataFrame) -> bool:
+    """Whether the table is kept in memory."""
+    return df.storageLevel.useMemory
