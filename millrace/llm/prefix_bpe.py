@@ -17,7 +17,7 @@ _NEVER = np.int32(2**31 - 1)
 #: Slices of fewer candidates are stepped through one by one.
 _FEW = 24
 #: Remembered answers about pairs of tokens; forgotten all at once beyond it.
-MAX_PAIRS = 1 << 22
+MAX_PAIRS = 1 << 20
 
 
 class PrefixEncoder:
