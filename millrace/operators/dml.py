@@ -33,13 +33,18 @@ def value_type(field: T.StructField) -> T.DataType:
     return T.StringType() if isinstance(field.dataType, (T.CharType, T.VarcharType)) else field.dataType
 
 
+def aligned_rows(schema: T.StructType, source: DataFrame, defaults: dict[str, Column] | None = None, generated: dict[str, Column] | None = None) -> DataFrame:
+    """source's rows in schema's columns and types. Columns that source lacks take their default or null; generated ones
+    are computed."""
+    defaults, own = defaults or {}, set(source.columns)
+    kinds = {f.name: f.dataType for f in schema.fields}
+    rows = source.select(*((F.col(c) if c in own else defaults.get(c, F.lit(None))).cast(k).alias(c) for c, k in kinds.items()))
+    return rows.withColumns({c: e.cast(kinds[c]) for c, e in generated.items()}) if generated else rows
+
+
 def insert_rows(target: DataFrame, source: DataFrame, defaults: dict[str, Column] | None = None, generated: dict[str, Column] | None = None) -> DataFrame:
-    """target with source's rows. Columns that source lacks take their default or null; generated ones are computed."""
-    defaults = defaults or {}
-    own = set(source.columns)
-    kinds = {f.name: f.dataType for f in target.schema.fields}
-    rows = source.select(*((F.col(c) if c in own else defaults.get(c, F.lit(None))).cast(kinds[c]).alias(c) for c in target.columns))
-    return target.unionAll(rows.withColumns({c: e.cast(kinds[c]) for c, e in (generated or {}).items()}))
+    """target with source's rows, see aligned_rows."""
+    return target.unionAll(aligned_rows(target.schema, source, defaults, generated))
 
 
 def update_rows(target: DataFrame, where: Column, **new: Column) -> DataFrame:

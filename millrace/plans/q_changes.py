@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from millrace.catalog import Tables
 from millrace.operators import dml
 from millrace.registry import Registry
+from millrace.sources.table import ChangeableTable
+from millrace.sources.writers import scratch
 
 registry = Registry()
 query = registry.query
@@ -78,3 +80,28 @@ def constraint_check_null(t: Tables) -> DataFrame:
     d = t.documents
     nulls = dml.null_violations(d, ["text"]).select("doc_id", F.lit("null").alias("violation"))
     return nulls.unionAll(dml.check_violations(d, c("n_chars") > 10).select("doc_id", F.lit("check").alias("violation")))
+
+
+@query(
+    "dml_stored_table",
+    """SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN upper(n_name || '!') ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_regionkey <> 1 AND n_nationkey > 4
+UNION ALL SELECT n_nationkey, 'new', 9 FROM nation WHERE n_nationkey <= 4""",
+)
+def dml_stored_table(t: Tables) -> DataFrame:
+    """INSERT, UPDATE, DELETE and upsert of a stored table, each a version of it."""
+    schema = T.StructType([T.StructField("n_nationkey", T.IntegerType(), False), T.StructField("n_name", T.StringType()), T.StructField("n_regionkey", T.IntegerType())])
+    table = ChangeableTable.create(t.spark, scratch(t.spark, "table"), schema, ["n_nationkey"])
+    table.insert(t.nation)
+    table.update(c("n_regionkey") == 2, n_name=F.upper(F.concat("n_name", F.lit("!"))))
+    table.delete(c("n_regionkey") == 1)
+    table.upsert(t.nation.where("n_nationkey <= 4").select("n_nationkey", F.lit("new").alias("n_name"), F.lit(9).alias("n_regionkey")))
+    return table.read()
+
+
+@query("table_time_travel", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def table_time_travel(t: Tables) -> DataFrame:
+    """A version before later changes."""
+    table = ChangeableTable.create(t.spark, scratch(t.spark, "table"), t.nation.schema)
+    first = table.insert(t.nation)
+    table.delete(c("n_regionkey") > 0)
+    return table.read(first)
