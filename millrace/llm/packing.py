@@ -228,9 +228,15 @@ def pack_texts(documents: DataFrame, *, key: str = "doc_id", text: str = "text",
     return numbered.mapInArrow(place, schema)
 
 
+def containers(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """container_id, n_parts, n_tokens and n_unused of each container."""
+    each = packed.where("container_id IS NOT NULL").groupBy("container_id").agg(F.count(F.lit(1)).alias("n_parts"), F.sum("n_tokens").alias("n_tokens"))
+    return each.withColumn("n_unused", capacity - F.col("n_tokens"))
+
+
 def container_fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: n_containers, n_tokens and unused_share of the containers' capacity (null without containers)."""
-    return packed.where("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("n_tokens").alias("n")).agg(
+    return containers(packed, capacity).select(F.col("n_tokens").alias("n")).agg(
         F.count(F.lit(1)).alias("n_containers"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"),
         (1 - F.sum("n") / F.nullif(F.count(F.lit(1)), F.lit(0)) / capacity).alias("unused_share"),
     )

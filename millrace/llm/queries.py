@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.catalog import Tables
 from millrace.llm import kmv
 from millrace.llm.encoding_ops import encode_corpus, token_lengths
-from millrace.llm.packing import container_fill, pack_texts
+from millrace.llm.packing import containers, pack_texts
 from millrace.llm.pairs import frequent_pairs, pair_statistics
 from millrace.llm.repetition import anomalies, repeated_texts, repetition
 from millrace.registry import Registry
@@ -121,8 +121,8 @@ def p7_containers(t: Tables) -> DataFrame:
 
 @query("p7_fill")
 def p7_fill(t: Tables) -> DataFrame:
-    """Containers, tokens and the share of unused space."""
-    return container_fill(pack_texts(t.documents))
+    """Parts, tokens and unused space of every container."""
+    return containers(pack_texts(t.documents))
 
 
 @query("p8_repetition")
