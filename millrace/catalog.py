@@ -32,3 +32,9 @@ def register_views(spark: SparkSession, folder: str, names: list[str] | None = N
     tables = Tables(spark, folder)
     for name in names or NAMES:
         getattr(tables, name).createOrReplaceTempView(name)
+
+
+def table_columns(tables: Tables, names: list[str]) -> DataFrame:
+    """table_name, column_name, position (from 1), data_type and is_nullable, as a database's catalog tables list them."""
+    rows = [(n, f.name, i, f.dataType.simpleString(), f.nullable) for n in names for i, f in enumerate(getattr(tables, n).schema.fields, 1)]
+    return tables.spark.createDataFrame(rows, "table_name string, column_name string, position int, data_type string, is_nullable boolean")

@@ -49,7 +49,7 @@ def scalar_max(*x: ColumnOrName) -> Column:
 
 def int_divide(a: ColumnOrName, b: ColumnOrName) -> Column:
     """Division of integers: truncated towards zero, an error for zero."""
-    return ((_c(a) - _c(a) % _c(b)) / _c(b)).cast("bigint")
+    return F.call_function("div", _c(a).cast("bigint"), _c(b).cast("bigint"))
 
 
 def sum_exact(x: ColumnOrName) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.catalog import Tables
+from millrace.catalog import Tables, table_columns
 from millrace.operators import statistics as St
 from millrace.operators import udfs as U
 from millrace.registry import Registry
@@ -209,3 +209,8 @@ def materialized_scroll(t: Tables) -> DataFrame:
 
     d = t.orders.select("o_orderkey", "o_totalprice")
     return ScrollResult(d, [F.desc("o_totalprice"), F.col("o_orderkey")]).rows.select("o_orderkey", F.col("_place").alias("place"))
+
+
+@query("catalog_columns", "SELECT table_name, column_name, ordinal_position::INTEGER AS position FROM information_schema.columns WHERE table_name IN ('region', 'orders', 'lineitem') GROUP BY ALL")
+def catalog_columns(t: Tables) -> DataFrame:
+    return table_columns(t, ["region", "orders", "lineitem"]).select("table_name", "column_name", "position")

@@ -18,7 +18,7 @@ def sort_null_order(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "lang", "store_nbr").orderBy(F.col("store_nbr").desc_nulls_first(), F.col("lang").asc_nulls_last(), "doc_id")
 
 
-@query("limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey OFFSET 20 LIMIT 10".replace("OFFSET 20 LIMIT 10", "LIMIT 10 OFFSET 20"))
+@query("limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 20")
 def limit_offset(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(20).limit(10)
 

@@ -53,7 +53,6 @@ def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/result" if mode == "complete" else f"{out}/result/batch={number}")
 
-    # sessions cannot be complete; every group ends in one batch when all is read at once
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     if query.exception():

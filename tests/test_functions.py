@@ -32,7 +32,7 @@ def text(s):
         (lambda: S.char_equal(text("a  "), text("a")), True), (lambda: S.split_part(text("a,b"), ",", 3), ""), (lambda: S.initcap(text("aB cD")), "Ab Cd"),
         (lambda: N.trunc_num(F.lit(Decimal("-1.29")), 1).cast("double"), -1.2), (lambda: N.trunc_num(F.lit(1299), -2).cast("int"), 1200), (lambda: N.pow_checked(F.lit(2), F.lit(10)), 1024.0),
         (lambda: N.scalar_min(F.lit(1), F.lit(None).cast("int")), None), (lambda: N.scalar_max(F.lit(1), F.lit(2)), 2), (lambda: N.decimal_of(text("1,5"), 5, 2, ","), Decimal("1.50")),
-        (lambda: N.int_divide(F.lit(-7), F.lit(2)), -3), (lambda: N.multiply_alt(F.lit(Decimal("1.5")), F.lit(Decimal("2.5")), 10, 3), Decimal("3.750")),
+        (lambda: N.int_divide(F.lit(-7), F.lit(2)), -3), (lambda: N.int_divide(F.lit(2**63 - 1), F.lit(1)), 2**63 - 1), (lambda: N.multiply_alt(F.lit(Decimal("1.5")), F.lit(Decimal("2.5")), 10, 3), Decimal("3.750")),
         (lambda: D.days(text("0001-01-01").cast("date")), 1), (lambda: D.days(F.lit(dt.date(2020, 1, 1))), 737425), (lambda: D.monthname(F.lit(dt.date(2024, 2, 29))), "February"),
         (lambda: D.weekdayname(F.lit(dt.date(2024, 2, 29))), "Thursday"), (lambda: D.weekday(F.lit(dt.date(2024, 3, 3))), 7), (lambda: D.add_years(F.lit(dt.date(2024, 2, 29)), 1), dt.date(2025, 2, 28)),
         (lambda: D.trunc_date(F.lit(dt.date(2024, 2, 29)), "YEAR"), dt.date(2024, 1, 1)), (lambda: D.timestamp_of(F.lit(dt.date(2024, 1, 2)), text("03:04:05")), dt.datetime(2024, 1, 2, 3, 4, 5)),
