@@ -137,3 +137,10 @@ def test_whole_groups_split_no_group():
         groups = [set(zip(t["a"].to_pylist(), t["b"].to_pylist())) for t in out]
         assert sum(map(len, groups)) == len(set(data))
     assert list(whole_groups(iter([]), ["a"])) == [] and columns_of(table, ["a"], -1)[0].min() == -1
+
+
+def test_export_of_nothing(spark, tmp_path):
+    assert W.export_files(spark.range(5).where("id > 9"), f"'{tmp_path}/none'", kind="'parquet'").first()[0] == 0
+    assert W.export_files(spark.createDataFrame([], "k int"), f"'{tmp_path}/none'").first()[0] == 0
+    assert W.export_files(spark.createDataFrame([(1e-7,), (1.5,)], "x double").coalesce(1), f"'{tmp_path}/plain'", floats="'plain'").first()[0] == 2
+    assert sorted("".join(p.read_text() for p in (tmp_path / "plain").glob("part-*")).split()) == ["0.000000100", "1.500000000"]

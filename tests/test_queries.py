@@ -29,13 +29,14 @@ def test_query(spark, duck, name):
     df = entry.queries()[name](spark, FOLDER)
     columns = sorted(df.columns)
     assert len(set(columns)) == len(columns) and all(c == c.lower() for c in columns)
-    got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
+    own = [df.columns.index(c) for c in columns]
+    got = sorted((tuple(plain(r[i]) for i in own) for r in df.collect()), key=repr)
     if (sql := entry.oracle_sql().get(name)) is None:
         return
     cursor = duck.execute(sql)
     there = [d[0] for d in cursor.description]
     assert sorted(there) == columns
-    assert got == sorted((tuple(plain(r[there.index(c)]) for c in columns) for r in cursor.fetchall()), key=repr)
+    assert got == sorted((tuple(plain(r[i]) for i in map(there.index, columns)) for r in cursor.fetchall()), key=repr)
 
 
 def test_entry(spark):
