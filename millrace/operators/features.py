@@ -1,8 +1,9 @@
 """Per-entity feature table from events (problem 1).
 
-Event types are encoded as indices 0..n-1. Each task turns its share of the events into one sparse vector per
-entity: the indices it saw with lines, purchases and latest day of each. Such vectors merge by adding and by taking
-the maximum, so that only vectors, not events, move to the entity's task, where they are expanded into columns.
+Event types are encoded as indices 0..n-1. Copies of a line are combined where they are read, the lines of a purchase meet
+in one task, and each task turns its purchases into one sparse vector per entity: the indices it saw with lines,
+purchases and latest day of each. Such vectors merge by adding and by taking the maximum; they move to the entity's
+task, where they are merged and expanded into columns.
 """
 
 from __future__ import annotations
@@ -22,42 +23,56 @@ from millrace.arrowops import columns_of, group_starts, local_aggregate, whole_g
 MAX_TYPES = 5000
 #: Cells of a block of dense vectors while they are expanded.
 BLOCK_CELLS = 1 << 20
-#: Sparse vectors that are merged at once.
-VECTORS = 1 << 15
-#: Stands for "no type" and "no day" in int64 arrays.
-NONE = -(1 << 40)
+#: Cells of sparse vectors that are merged at once.
+MERGE_CELLS = 1 << 20
+#: Stands for "no type" among indices and for "no day" among days.
+NO_TYPE, NO_DAY = -1, -(1 << 31)
 
 VECTOR = T.StructType(
     [T.StructField("entity", T.LongType())]
-    + [T.StructField(n, T.ArrayType(T.LongType())) for n in ("idx", "lines", "purchases", "last")]
+    + [T.StructField(n, T.ArrayType(k, False)) for n, k in (("idx", T.IntegerType()), ("lines", T.LongType()), ("purchases", T.LongType()), ("last", T.IntegerType()))]
 )
+Cells = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def type_dictionary(types: DataFrame, type_id: str) -> DataFrame:
-    """type_id (distinct, not null) with idx, its place in ascending order from 0."""
+def _type_values(types: DataFrame, type_id: str) -> list:
     ids = types.select(F.col(type_id).alias("type_id")).where("type_id IS NOT NULL").distinct()
-    spark = types.sparkSession
     values = sorted(r[0] for r in ids.limit(MAX_TYPES + 1).collect())  # bounded: one more than is allowed
     if len(values) > MAX_TYPES:
         raise ValueError(f"more than {MAX_TYPES} types")
-    schema = T.StructType([T.StructField("type_id", ids.schema[0].dataType), T.StructField("idx", T.LongType())])
-    return spark.createDataFrame([(v, i) for i, v in enumerate(values)], schema)
+    return values
+
+
+def type_dictionary(types: DataFrame, type_id: str) -> DataFrame:
+    """type_id (distinct, not null) with idx, its place in ascending order from 0."""
+    return _dictionary(types, type_id, _type_values(types, type_id))
 
 
-def _lists(starts: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
-    offsets = pa.array(np.append(starts, len(values[0])).astype(np.int32))
-    return [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values]
+def _dictionary(types: DataFrame, type_id: str, values: list) -> DataFrame:
+    schema = T.StructType([T.StructField("type_id", types.schema[type_id].dataType), T.StructField("idx", T.IntegerType())])
+    return types.sparkSession.createDataFrame([(v, i) for i, v in enumerate(values)], schema)
 
 
-def _vectors(entity: np.ndarray, idx: np.ndarray, lines: np.ndarray, purchases: np.ndarray, last: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sparse vectors of rows sorted by entity and idx. idx NONE says only that the entity is there."""
+def _vectors(cells: Cells) -> Iterator[pa.RecordBatch]:
+    """Sparse vectors of cells sorted by entity and idx. idx NO_TYPE says only that the entity is there."""
+    entity = cells[0]
     starts = group_starts(entity)
-    arrays = [pa.array(entity[starts]), *_lists(starts, idx, lines, purchases, last)]
+    offsets = pa.array(np.append(starts, len(entity)).astype(np.int32))
+    kinds = (np.int32, np.int64, np.int64, np.int32)
+    arrays = [pa.array(entity[starts]), *(pa.ListArray.from_arrays(offsets, pa.array(v.astype(k, copy=False))) for v, k in zip(cells[1:], kinds))]
     whole = pa.RecordBatch.from_arrays(arrays, names=VECTOR.names)
     for at in range(0, whole.num_rows, 20_000):
         yield whole.slice(at, 20_000)
 
 
+def _merged(cells: Cells) -> Cells:
+    """Cells sorted by entity and idx, equal ones merged."""
+    order = np.lexsort((cells[1], cells[0]))
+    e, i, n, p, d = (x[order] for x in cells)
+    at = group_starts(e, i)
+    return e[at], i[at], np.add.reduceat(n, at), np.add.reduceat(p, at), np.maximum.reduceat(d, at)
+
+
 def sparse_vectors(events: DataFrame, types: DataFrame, *, entity: str, kind: str, at: str, record: str, basket: str) -> DataFrame:
     """Partial sparse vectors (entity, idx[], lines[], purchases[], last[]), merged by merge_vectors.
 
@@ -65,7 +80,10 @@ def sparse_vectors(events: DataFrame, types: DataFrame, *, entity: str, kind: st
     once under each. Rows without entity are left out. Rows without a known kind only make sure that the entity gets a
     row. Purchases are different baskets (null is none), last is the latest day as days since 1970-01-01.
     """
-    dictionary = F.broadcast(type_dictionary(types, "type_id" if "type_id" in types.columns else types.columns[0]))
+    return _sparse_vectors(events, type_dictionary(types, "type_id" if "type_id" in types.columns else types.columns[0]), entity, kind, at, record, basket)
+
+
+def _sparse_vectors(events: DataFrame, dictionary: DataFrame, entity: str, kind: str, at: str, record: str, basket: str) -> DataFrame:
     rows = events.select(
         F.col(entity).cast("bigint").alias("entity"),
         F.col(kind).alias("type_id"),
@@ -73,43 +91,51 @@ def sparse_vectors(events: DataFrame, types: DataFrame, *, entity: str, kind: st
         F.col(record).cast("bigint").alias("record"),
         F.col(at).cast("date").alias("at"),
     ).where("entity IS NOT NULL")
-    rows = rows.join(dictionary, "type_id", "left").select(
-        "entity", F.coalesce("idx", F.lit(NONE)).alias("idx"), F.when(F.col("idx").isNotNull(), F.col("basket")).alias("basket"),
-        F.when(F.col("idx").isNotNull(), F.col("record")).alias("record"), F.when(F.col("idx").isNotNull(), F.col("at")).alias("at"),
-    )
-    # A hot entity's rows are spread by their baskets; copies shrink before they move.
-    keys = ["entity", "idx", "basket"]
-    rows = local_aggregate(rows, [*keys, "record"], {"at": "max"}).repartition(*keys).sortWithinPartitions(*keys, "record")
+    known = lambda c: F.when(F.col("idx").isNotNull(), F.col(c)).alias(c)
+    rows = rows.join(F.broadcast(dictionary), "type_id", "left").select("entity", F.coalesce("idx", F.lit(NO_TYPE)).alias("idx"), known("basket"), known("record"), known("at"))
+    # A hot entity's rows are spread by their baskets, those without one by their records; copies shrink before they move.
+    keys = ["entity", "basket", "idx", "record"]
+    rows = local_aggregate(rows, keys, {"at": "max"}).repartition("entity", "basket", F.when(F.col("basket").isNull(), F.col("record"))).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a pair of entity and type that is cut between two baskets becomes two vectors, which merge later
+        before = None  # the purchase and type that the rows so far ended with: it counts once
         for table in whole_groups(batches, keys):
-            e, i, b, r = columns_of(table, [*keys, "record"])
-            (d,) = columns_of(table, ["at"], NONE)
+            e, b, i, r = columns_of(table, keys)
+            (d,) = columns_of(table, ["at"], NO_DAY)
             bn, rn = (table[c].is_null().to_numpy() for c in ("basket", "record"))
-            line = group_starts(e, i, bn, b, rn, r)
+            line = group_starts(e, bn, b, i, rn, r)
             d = np.maximum.reduceat(d, line)
-            e, i, b, bn = e[line], i[line], b[line], bn[line]
-            purchase = np.zeros(len(line), np.int64)
-            purchase[group_starts(e, i, bn, b)] = 1
-            purchase[bn] = 0
-            pair = group_starts(e, i)
-            lines = np.diff(np.append(pair, len(line)))
-            yield from _vectors(e[pair], i[pair], lines, np.add.reduceat(purchase, pair), np.maximum.reduceat(d, pair))
+            e, b, bn, i = e[line], b[line], bn[line], i[line]
+            cell = group_starts(e, bn, b, i)
+            bought = (~bn[cell]).astype(np.int64)
+            if before == (e[0], b[0], i[0]):
+                bought[0] = 0
+            before = None if bn[-1] else (e[-1], b[-1], i[-1])
+            lines = np.diff(np.append(cell, len(line)))
+            yield from _vectors(_merged((e[cell], i[cell], lines, bought, np.maximum.reduceat(d, cell))))
 
     return rows.mapInArrow(run, VECTOR)
 
 
-def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Entity, idx, lines, purchases and last of vectors sorted by entity, merged, some whole entities at a time."""
-    for table in whole_groups(batches, ["entity"], VECTORS):
-        sizes = np.asarray(pc.list_value_length(table["idx"]))
-        e = np.repeat(table["entity"].to_numpy(), sizes)
-        i, n, p, d = (pc.list_flatten(table[c]).to_numpy() for c in VECTOR.names[1:])
-        order = np.lexsort((i, e))
-        e, i, n, p, d = (x[order] for x in (e, i, n, p, d))
-        at = group_starts(e, i)
-        yield e[at], i[at], np.add.reduceat(n, at), np.add.reduceat(p, at), np.maximum.reduceat(d, at)
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[Cells]:
+    """Cells of vectors sorted by entity, merged, some whole entities at a time; an entity of any number of vectors is
+    merged as they come."""
+    held: list[Cells] = []
+    size, least = 0, MERGE_CELLS
+    for b in batches:
+        vector_sizes = np.asarray(pc.list_value_length(b.column("idx")))
+        held.append((np.repeat(b.column("entity").to_numpy(), vector_sizes), *(pc.list_flatten(b.column(c)).to_numpy() for c in VECTOR.names[1:])))
+        size += len(held[-1][0])
+        if size >= least:
+            cells = _merged(tuple(map(np.concatenate, zip(*held))))
+            last = np.searchsorted(cells[0], cells[0][-1])
+            if last:
+                yield tuple(c[:last] for c in cells)
+            held = [tuple(c[last:] for c in cells)]
+            size = len(held[0][0])
+            least = max(MERGE_CELLS, 2 * size)
+    if size:
+        yield _merged(tuple(map(np.concatenate, zip(*held))))
 
 
 def _by_entity(vectors: DataFrame) -> DataFrame:
@@ -120,8 +146,8 @@ def merge_vectors(vectors: DataFrame) -> DataFrame:
     """One vector per entity. Purchases add up, so vectors that are merged must not share a purchase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for flat in _flat(batches):
-            yield from _vectors(*flat)
+        for cells in _flat(batches):
+            yield from _vectors(cells)
 
     return _by_entity(vectors).mapInArrow(run, VECTOR)
 
@@ -133,14 +159,14 @@ def expand_vectors(vectors: DataFrame, n_types: int, as_of: str, entity: str = "
     """
     width = max(3, len(str(n_types - 1)))
     names = [f"{k}_{i:0{width}d}" for k in ("lines", "purchases", "days") for i in range(n_types)]
-    kinds = [T.LongType()] * (2 * n_types) + [T.IntegerType()] * n_types
-    schema = T.StructType([T.StructField(entity, T.LongType())] + [T.StructField(n, k) for n, k in zip(names, kinds)])
+    kinds = [(T.LongType(), False)] * (2 * n_types) + [(T.IntegerType(), True)] * n_types
+    schema = T.StructType([T.StructField(entity, T.LongType())] + [T.StructField(n, *k) for n, k in zip(names, kinds)])
     end = int(np.datetime64(as_of, "D").astype(np.int64))
     block = max(1, BLOCK_CELLS // max(1, n_types))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for e, i, n, p, d in _flat(batches):
-            yield from dense(e, i, n, p, d)
+        for cells in _flat(batches):
+            yield from dense(*cells)
 
     def dense(e: np.ndarray, i: np.ndarray, n: np.ndarray, p: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = group_starts(e)
@@ -153,9 +179,9 @@ def expand_vectors(vectors: DataFrame, n_types: int, as_of: str, entity: str = "
             counts = np.zeros((2, n_types, high - low), np.int64)
             counts[0][cell], counts[1][cell] = n[known], p[known]
             days, bought = np.zeros((n_types, high - low), np.int32), np.zeros((n_types, high - low), bool)
-            dated = known[d[known] != NONE]
+            dated = known[d[known] != NO_DAY]
             cell = (i[dated], row[dated] - low)
-            days[cell], bought[cell] = (end - d[dated]).astype(np.int32), True
+            days[cell], bought[cell] = end - d[dated], True
             arrays = [pa.array(e[first[low:high]])]
             arrays += [pa.array(column) for matrix in counts for column in matrix]
             arrays += [pa.array(column, mask=~there) for column, there in zip(days, bought)]
@@ -171,7 +197,6 @@ def entity_features(events: DataFrame, types: DataFrame, *, type_id: str, entity
     name is the type's place in ascending order, see type_dictionary. An entity all of whose rows lack a known type
     gets a row of zeros. Empty events give no row, with the same columns. Other columns of the inputs are not read.
     """
-    dictionary = types.select(F.col(type_id).alias("type_id")).where("type_id IS NOT NULL").distinct()
-    n_types = dictionary.count()
-    vectors = sparse_vectors(events, dictionary, entity=entity, kind=kind, at=at, record=record, basket=basket)
-    return expand_vectors(vectors, n_types, as_of, entity)
+    values = _type_values(types, type_id)
+    vectors = _sparse_vectors(events, _dictionary(types, type_id, values), entity, kind, at, record, basket)
+    return expand_vectors(vectors, len(values), as_of, entity)
