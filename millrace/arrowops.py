@@ -7,12 +7,37 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Rows that a task gathers before it combines them; bounds the memory of local_aggregate.
 FLUSH_ROWS = 1 << 19
 
+_BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_OFF, _DEFAULT = 2**31 - 1, 64 << 20
+
+
+def _limit_bytes(spark: SparkSession, on: bool) -> None:
+    if spark.conf.get(_BYTES_PER_BATCH).rstrip("b") in (str(_OFF), str(_DEFAULT)):  # another value is the user's own
+        spark.conf.set(_BYTES_PER_BATCH, str(_DEFAULT if on else _OFF))
+
+
+def narrow_rows(df: DataFrame) -> DataFrame:
+    """df, for an operator whose rows have a small bounded size (a few numbers, or lists of at most some hundred).
+
+    While Arrow batches are limited by bytes, Spark measures the batch again for every row that goes to Python, which
+    costs ten times what the row does. For such rows the limit of rows a batch suffices, and that of bytes is
+    switched off in the session; wide_rows switches it on again. A value of the user's own stays.
+    """
+    _limit_bytes(df.sparkSession, False)
+    return df
+
+
+def wide_rows(df: DataFrame) -> DataFrame:
+    """df, for an operator whose rows may be of any size, as texts: batches are limited by bytes."""
+    _limit_bytes(df.sparkSession, True)
+    return df
+
 
 def subset_schema(df: DataFrame, columns: Iterable[str]) -> T.StructType:
     by_name = {f.name: f for f in df.schema.fields}
@@ -22,7 +47,7 @@ def subset_schema(df: DataFrame, columns: Iterable[str]) -> T.StructType:
 def local_aggregate(df: DataFrame, keys: list[str], aggs: dict[str, str] | None = None) -> DataFrame:
     """Combine equal keys inside each task, without a shuffle.
 
-    Spark only combines before a shuffle on exactly the grouping keys. This is for a shuffle on fewer columns: a
+    For narrow rows, see narrow_rows. Spark only combines before a shuffle on exactly the grouping keys. This is for a shuffle on fewer columns: a
     hot group of copies shrinks to a row per FLUSH_ROWS rows before anything moves, however many rows it has.
     aggs: pyarrow's aggregation by column ("sum", "max", "min"); the results keep the columns' names. Null keys
     are kept as keys. The result is partial: equal keys of different tasks stay apart.
@@ -50,7 +75,7 @@ def local_aggregate(df: DataFrame, keys: list[str], aggs: dict[str, str] | None
         if held:
             yield from flush()
 
-    return df.select(*columns).mapInArrow(run, subset_schema(df, columns))
+    return narrow_rows(df).select(*columns).mapInArrow(run, subset_schema(df, columns))
 
 
 def ints(column: pa.Array, null: int = 0) -> np.ndarray:
@@ -63,8 +88,9 @@ def ints(column: pa.Array, null: int = 0) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = FLUSH_ROWS) -> Iterator[pa.Table]:
-    """The rows of a task that are sorted by keys, in tables of about `rows` rows that split no group of equal keys.
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = FLUSH_ROWS, together: bool = True) -> Iterator[pa.Table]:
+    """The rows of a task that are sorted by keys, in tables of about `rows` rows that split no group of equal keys;
+    rows whose first key is null stay together only if asked for.
 
     With the sort left to Spark, which spills, a task of any size needs memory for one table, or for one group where that
     is larger. Null is a key.
@@ -78,6 +104,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         last = np.ones(n, bool)
+        if not together and not table[keys[0]][n - 1].is_valid:
+            last[:] = False
         for k in keys:
             column, value = table[k], table[k][n - 1]
             same = pc.equal(column, value).fill_null(False) if value.is_valid else pc.is_null(column)

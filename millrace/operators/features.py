@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.arrowops import columns_of, group_starts, local_aggregate, whole_groups
+from millrace.arrowops import columns_of, group_starts, local_aggregate, narrow_rows, whole_groups
 
 #: More types than this are refused: each one becomes three columns, and the dictionary is broadcast.
 MAX_TYPES = 5000
@@ -25,6 +25,8 @@ MAX_TYPES = 5000
 BLOCK_CELLS = 1 << 20
 #: Cells of sparse vectors that are merged at once.
 MERGE_CELLS = 1 << 20
+#: Cells of a sparse vector; an entity with more gets several, so that a row's size is bounded.
+VECTOR_CELLS = 128
 #: Stands for "no type" among indices and for "no day" among days.
 NO_TYPE, NO_DAY = -1, -(1 << 31)
 
@@ -54,9 +56,13 @@ def _dictionary(types: DataFrame, type_id: str, values: list) -> DataFrame:
 
 
 def _vectors(cells: Cells) -> Iterator[pa.RecordBatch]:
-    """Sparse vectors of cells sorted by entity and idx. idx NO_TYPE says only that the entity is there."""
+    """Sparse vectors of at most VECTOR_CELLS cells, which are sorted by entity and idx. idx NO_TYPE says only that the entity is there."""
     entity = cells[0]
     starts = group_starts(entity)
+    if (sizes := np.diff(np.append(starts, len(entity)))).max(initial=0) > VECTOR_CELLS:
+        rows = -(-sizes // VECTOR_CELLS)
+        nth = np.arange(int(rows.sum())) - np.repeat(np.cumsum(rows) - rows, rows)
+        starts = np.repeat(starts, rows) + nth * VECTOR_CELLS
     offsets = pa.array(np.append(starts, len(entity)).astype(np.int32))
     kinds = (np.int32, np.int64, np.int64, np.int32)
     arrays = [pa.array(entity[starts]), *(pa.ListArray.from_arrays(offsets, pa.array(v.astype(k, copy=False))) for v, k in zip(cells[1:], kinds))]
@@ -114,7 +120,7 @@ def _sparse_vectors(events: DataFrame, dictionary: DataFrame, entity: str, kind:
             lines = np.diff(np.append(cell, len(line)))
             yield from _vectors(_merged((e[cell], i[cell], lines, bought, np.maximum.reduceat(d, cell))))
 
-    return rows.mapInArrow(run, VECTOR)
+    return narrow_rows(rows).mapInArrow(run, VECTOR)
 
 
 def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[Cells]:
@@ -139,11 +145,11 @@ def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[Cells]:
 
 
 def _by_entity(vectors: DataFrame) -> DataFrame:
-    return vectors.repartition("entity").sortWithinPartitions("entity")
+    return narrow_rows(vectors).repartition("entity").sortWithinPartitions("entity")
 
 
 def merge_vectors(vectors: DataFrame) -> DataFrame:
-    """One vector per entity. Purchases add up, so vectors that are merged must not share a purchase."""
+    """One vector per entity (several if it has more than VECTOR_CELLS cells). Purchases add up, so vectors that are merged must not share a purchase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cells in _flat(batches):
