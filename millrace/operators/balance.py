@@ -1,8 +1,8 @@
 """Per-key results where a few keys hold most records (problem 2).
 
-Work is split by record, never by key. Each task encodes the keys it sees as dense codes and counts them with bincount
-into accumulator arrays; the arrays are cut into blocks of keys, and the blocks of all tasks are summed. However hot a
-key is, it is one number per task when it moves.
+Work is split as the input is, or by record, never by key. Each task encodes the keys it sees as dense codes and counts
+them with bincount into accumulator arrays; the arrays are cut into blocks of keys, and the blocks of all tasks are
+summed. However hot a key is, it is one number per task when it moves.
 """
 
 from __future__ import annotations
@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.arrowops import ints
+from millrace.arrowops import columns_of, group_starts, ints, local_aggregate, narrow_rows, whole_groups
 
 #: Key slices that accumulator arrays are cut into; the slices are summed independently.
 BLOCKS = 4096
 #: Rows a task counts at once.
 STEP_ROWS = 1 << 20
+#: Keys that a task's accumulators hold before they are sent; bounds its memory.
+MOST_KEYS = 1 << 22
 
 ARRAYS = T.StructType(
     [T.StructField("field_name", T.StringType()), T.StructField("block", T.IntegerType())]
@@ -57,70 +59,114 @@ class Accumulator:
 
 
 def _emit(field: str, held: Accumulator) -> Iterator[pa.RecordBatch]:
+    """The arrays by block; keys as differences to the one before in the block, which compress well."""
     if not len(held.keys):
         return
     block = _block(held.keys)
     order = np.argsort(block, kind="stable")
     block = block[order]
-    starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    starts = group_starts(block)
+    keys = held.keys[order]
+    steps = np.diff(keys, prepend=0)
+    steps[starts] = keys[starts]
     offsets = pa.array(np.append(starts, len(block)).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (held.keys, *held.sums)]
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (steps, *(x[order] for x in held.sums))]
     yield pa.RecordBatch.from_arrays([pa.array([field] * len(starts)), pa.array(block[starts]), *lists], names=ARRAYS.names)
 
 
-def key_counts(df: DataFrame, fields: list[str], record: str) -> DataFrame:
-    """Rows and different records of every non-null value of each field: field_name, key_value, n_rows, n_purchases.
+def _accumulated(parts: Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]], fields: list[str]) -> Iterator[pa.RecordBatch]:
+    """Accumulator arrays of a task. parts: per field keys, rows and purchases."""
+    sums = [Accumulator() for _ in fields]
+    for part in parts:
+        for i, (keys, rows, purchases) in enumerate(part):
+            sums[i].add(keys, rows, purchases)
+            if len(sums[i].keys) > MOST_KEYS:
+                yield from _emit(fields[i], sums[i])
+                sums[i] = Accumulator()
+    for name, held in zip(fields, sums):
+        yield from _emit(name, held)
 
-    All rows count in n_rows, copies too. n_purchases counts different non-null values of record. Null field values are
-    no keys. Fields must be integers. An empty df gives no rows; other columns are not read.
-    """
-    n = len(fields)
-    stacked = df.select(
-        F.col(record).cast("bigint").alias("record"),
-        F.expr(f"stack({n}, " + ", ".join(f"{i}, cast(`{f}` as bigint)" for i, f in enumerate(fields)) + ") as (field, key)"),
-    ).where("key IS NOT NULL")
-    # Split by (field, key, record): equal parts whatever is hot, and copies of a record shrink before they move.
-    split = stacked.groupBy("field", "key", "record").agg(F.count(F.lit(1)).alias("rows"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [Accumulator() for _ in fields]
-        held, rows = [], 0
-
-        def flush() -> None:
-            field, key, rec, many = (np.concatenate(x) for x in zip(*held))
-            for i in range(n):
-                own = field == i
-                sums[i].add(key[own], many[own], rec[own])
 
-        for b in batches:
-            held.append((ints(b.column("field")), ints(b.column("key")), b.column("record").is_valid().to_numpy(zero_copy_only=False).astype(np.int64), ints(b.column("rows"))))
-            rows += b.num_rows
-            if rows >= STEP_ROWS:
-                flush()
-                held, rows = [], 0
-        if held:
-            flush()
-        for name, held_sums in zip(fields, sums):
-            yield from _emit(name, held_sums)
+def _summed(arrays: DataFrame) -> DataFrame:
+    """The blocks of all tasks, summed: RESULT."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, Accumulator] = {}
         for b in batches:
             sizes = b.column("keys").value_lengths().to_numpy(zero_copy_only=False)
-            names, code = np.unique(np.array(b.column("field_name").to_pylist(), dtype=object).astype(str), return_inverse=True)
-            flat = [b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("keys", "rows", "purchases")]
-            code = np.repeat(code, sizes)
-            for i, name in enumerate(names):
-                own = code == i
-                sums.setdefault(str(name), Accumulator()).add(*(x[own] for x in flat))
+            code = b.column("field_name").dictionary_encode()
+            steps, rows, purchases = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("keys", "rows", "purchases"))
+            starts = np.cumsum(sizes) - sizes
+            keys = np.cumsum(steps)
+            keys -= np.repeat(keys[starts] - steps[starts], sizes)
+            field = np.repeat(code.indices.to_numpy(), sizes)
+            for i, name in enumerate(code.dictionary.to_pylist()):
+                own = field == i
+                sums.setdefault(name, Accumulator()).add(keys[own], rows[own], purchases[own])
         for name, held in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(held.keys), pa.string()), pa.array(held.keys), *map(pa.array, held.sums)], names=RESULT.names)
 
-    return split.mapInArrow(count, ARRAYS).repartition("field_name", "block").mapInArrow(reduce, RESULT)
+    return arrays.repartition("field_name", "block").mapInArrow(reduce, RESULT)
+
+
+def row_counts(df: DataFrame, fields: list[str]) -> DataFrame:
+    """The columns of key_counts with n_rows only (n_purchases is 0): counted on the input splits as they are read, so
+    that nothing but the arrays moves."""
+    keys = df.select(*(F.col(f).cast("bigint").alias(f"key_{i}") for i, f in enumerate(fields)))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        held: list[pa.RecordBatch] = []
+        size = 0
 
+        def part() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            values = [c.combine_chunks().drop_null().to_numpy() for c in pa.Table.from_batches(held).columns]
+            return [(v, np.ones(len(v), np.int64), np.zeros(len(v), np.int64)) for v in values]
 
-def heavy_keys(df: DataFrame, fields: list[str], record: str, share: int = 50) -> DataFrame:
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= STEP_ROWS:
+                yield part()
+                held, size = [], 0
+        if held:
+            yield part()
+
+    return _summed(narrow_rows(keys).mapInArrow(lambda batches: _accumulated(parts(batches), fields), ARRAYS))
+
+
+def key_counts(df: DataFrame, fields: list[str], record: str) -> DataFrame:
+    """Rows and different records of every non-null value of each field: field_name, key_value, n_rows, n_purchases.
+
+    All rows count in n_rows, copies too. n_purchases counts different non-null values of record. Null field values are
+    no keys. Fields must be integers. An empty df gives no rows; other columns are not read.
+
+    Records meet in one task each, after copies were combined where they are read: a row per record moves, whatever keys
+    are hot. Rows without a record are spread by their keys.
+    """
+    names = [f"key_{i}" for i in range(len(fields))]
+    keys = [F.col(f).cast("bigint").alias(n) for f, n in zip(fields, names)]
+    rows = local_aggregate(df.select(F.col(record).cast("bigint").alias("record"), *keys, F.lit(1).cast("bigint").alias("rows")), ["record", *names], {"rows": "sum"})
+    alone = [F.when(F.col("record").isNull(), F.col(n)) for n in names]
+    split = rows.repartition("record", *alone).sortWithinPartitions("record")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        for table in whole_groups(batches, ["record"], STEP_ROWS, together=False):
+            part = []
+            for n in names:
+                own = table.filter(table[n].is_valid())
+                key, rec, many = columns_of(own, [n, "record", "rows"])
+                known = own["record"].is_valid().to_numpy()
+                order = np.lexsort((key, rec, known))
+                first = np.zeros(len(key), np.int64)
+                first[order[group_starts(known[order], rec[order], key[order])]] = 1
+                part.append((key, many, first * known))
+            yield part
+
+    return _summed(narrow_rows(split).mapInArrow(lambda batches: _accumulated(parts(batches), fields), ARRAYS))
+
+
+def heavy_keys(df: DataFrame, fields: list[str], share: int = 50) -> DataFrame:
     """field_name, key_value of every value that at least one in `share` rows of df holds (null is no value, but its
     rows count). At most `share` values per field can be heavy."""
     total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
-    return key_counts(df, fields, record).where(F.col("n_rows") * share >= total).select("field_name", "key_value")
+    return row_counts(df, fields).where(F.col("n_rows") * share >= total).select("field_name", "key_value")

@@ -70,7 +70,7 @@ GROUP BY customer_master_id HAVING count(*) * 50 >= (SELECT count(*) FROM t_head
 )
 def p2_found(t: Tables) -> DataFrame:
     """Stores and customers that hold at least 2 % of the rows of t_header."""
-    return heavy_keys(t.t_header, KEY_FIELDS, "transaction_header_key", share=50)
+    return heavy_keys(t.t_header, KEY_FIELDS, share=50)
 
 
 def _orphans(t: Tables) -> DataFrame:

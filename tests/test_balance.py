@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 from millrace.operators import balance
-from millrace.operators.balance import Accumulator, heavy_keys, key_counts
+from millrace.operators.balance import Accumulator, heavy_keys, key_counts, row_counts
 from tests.conftest import rows
 
 SCHEMA = "store smallint, person bigint, h bigint, keys int, field string"
@@ -35,12 +35,12 @@ def test_against_plain(spark, monkeypatch):
 def test_heavy_keys(spark):
     data = sample(400, 2)
     want = sorted(((name, k) for name, k, n, _ in plain(data) if n * 50 >= len(data)), key=repr)
-    assert rows(heavy_keys(spark.createDataFrame(data, SCHEMA), ["store", "person"], "h")) == want
+    assert rows(heavy_keys(spark.createDataFrame(data, SCHEMA), ["store", "person"])) == want
 
 
 def test_empty_and_null(spark):
     assert key_counts(spark.createDataFrame([], SCHEMA), ["store", "person"], "h").count() == 0
-    assert heavy_keys(spark.createDataFrame([(None, None, None, 0, "")], SCHEMA), ["store"], "h").count() == 0
+    assert heavy_keys(spark.createDataFrame([(None, None, None, 0, "")], SCHEMA), ["store"]).count() == 0
 
 
 def test_accumulator_is_exact_beyond_doubles():
@@ -50,12 +50,29 @@ def test_accumulator_is_exact_beyond_doubles():
     assert a.keys.tolist() == [5, 9] and a.sums.tolist() == [[2**54 + 2, 6], [4, 0]]
 
 
-def test_no_task_gets_a_hot_key(spark):
-    """Before the sums, rows are split by key and record: a key of 99 % of the rows is spread."""
+def test_heavy_keys_move_no_records(spark):
+    """Rows are counted on the input splits: nothing is exchanged before the arrays are."""
     df = spark.range(20_000).selectExpr("cast(if(id % 100 = 0, id, 1) as bigint) AS person", "id AS h")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        sizes = df.groupBy("person", "h").count().repartition(4, "person", "h").selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert max(r[1] for r in sizes) < 6000
+    plan = row_counts(df, ["person"])._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moved) == 1 and "block" in moved[0] and "person" not in moved[0]
+
+
+def test_purchases_move_once(spark):
+    df = spark.range(20_000).selectExpr("cast(id % 7 as bigint) AS store", "cast(if(id % 100 = 0, id, 1) as bigint) AS person", "id AS h")
+    plan = key_counts(df, ["store", "person"], "h")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_arrays_are_sent_before_they_grow(spark, monkeypatch):
+    monkeypatch.setattr(balance, "MOST_KEYS", 10)
+    monkeypatch.setattr(balance, "STEP_ROWS", 20)
+    data = sample(300, 3)
+    parts = balance._accumulated(iter([[(np.arange(i, i + 8), np.ones(8, np.int64), np.zeros(8, np.int64))] for i in range(0, 40, 4)]), ["f"])
+    assert len(list(parts)) > 1
+    assert rows(key_counts(spark.createDataFrame(data, SCHEMA).repartition(3), ["store", "person"], "h")) == plain(data)
+
+
+def test_extreme_keys(spark):
+    data = [(None, k, 1, 0, "") for k in (-(2**63), 2**63 - 1, 0, -1, 2**63 - 1)]
+    assert rows(key_counts(spark.createDataFrame(data, SCHEMA), ["person"], "h")) == plain([(None, *r[1:]) for r in data])
