@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.arrowops import wide_rows
 from millrace.llm.prefix_bpe import PrefixEncoder
 from millrace.llm.text_encoding import code_points, piece_starts, text_encoder
 from millrace.llm.vocabulary import Vocabulary, default_path
@@ -32,7 +33,7 @@ def encode_corpus(documents: DataFrame, *, key: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(low, rows), ids], names=[key, "ids"])
                 low += rows
 
-    return documents.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return wide_rows(documents).select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def token_lengths(documents: DataFrame, *, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -45,7 +46,7 @@ def token_lengths(documents: DataFrame, *, key: str = "doc_id", text: str = "tex
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encoder.lengths(b.column(1)), pa.int64())], names=[key, "n_tokens"])
 
-    return documents.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return wide_rows(documents).select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 class EditableText:

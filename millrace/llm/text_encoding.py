@@ -14,7 +14,7 @@ from millrace.llm.vocabulary import CONTRACTIONS, LETTER, OTHER, SPACE, characte
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
 CHUNK_BYTES = 1 << 20
-#: Ids that a worker remembers for pieces; forgotten all at once beyond it.
+#: Ids that a worker remembers for pieces, and an eighth of the pieces' bytes; forgotten all at once beyond it.
 MAX_REMEMBERED = 1 << 23
 
 _BASE, _INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
@@ -37,7 +37,11 @@ def _byte_values() -> np.ndarray:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span, equal for equal spans; values are uint64 and should be mixed."""
+    """A 64-bit hash of values[start:end] for each span, equal for equal spans; values are uint64 and should be mixed.
+
+    Different spans may have equal hashes, and some texts are made to (Thue-Morse words collide for every base): whoever
+    uses the hashes compares the spans, see same_spans.
+    """
     up, down = _powers(max(20, (len(values) + 1).bit_length()))
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=sums[1:])
@@ -47,6 +51,22 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return h ^ (h >> np.uint64(29))
 
 
+def same_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Boolean per pair of spans of one size: whether a[a_start:a_start+size] equals b[b_start:b_start+size]."""
+    out = np.ones(len(sizes), bool)
+    ends = np.cumsum(sizes)
+    low = 0
+    while low < len(sizes):  # some spans at a time, so that what they are spread to stays small
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + CHUNK_BYTES, "right")))
+        size = sizes[low:high]
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        differ = np.flatnonzero(a[np.repeat(a_starts[low:high], size) + place] != b[np.repeat(b_starts[low:high], size) + place])
+        if len(differ):
+            out[low + np.searchsorted(np.cumsum(size), differ, "right")] = False
+        low = high
+    return out
+
+
 def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of UTF-8 bytes: the place of each character's first byte and the characters' code points."""
     if not (data & 0x80).any():
@@ -110,16 +130,18 @@ def piece_starts(points: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
 
 
 class TextEncoder:
-    """Encodes Arrow string columns; remembers the ids of pieces, by a 64-bit hash of their bytes."""
+    """Encodes Arrow string columns; remembers the ids of pieces by their bytes. They are looked up by a 64-bit hash, and
+    the bytes found there are compared; pieces whose hash belongs to another piece are looked up by their bytes alone."""
 
     def __init__(self, path: str):
         self.encoder = PrefixEncoder(vocabulary(path))
         self._forget()
 
     def _forget(self) -> None:
-        self.known = IntMap(1 << 16)
-        self.n_known = self.n_ids = 0
-        self.ids, self.at, self.count = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.known, self.clashing = IntMap(1 << 16), {}
+        self.n_known = self.n_ids = self.n_bytes = 0
+        self.ids, self.bytes = np.empty(1 << 16, np.int32), np.empty(1 << 18, np.uint8)
+        self.at, self.count, self.byte_at, self.size = (np.empty(1 << 14, np.int64) for _ in range(4))
 
     def _room(self, name: str, size: int) -> None:
         old = getattr(self, name)
@@ -128,27 +150,45 @@ class TextEncoder:
             new[: len(old)] = old
             setattr(self, name, new)
 
+    def _remember(self, data: np.ndarray, low: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Encode the pieces data[low:low+size] and remember them; their numbers."""
+        begin = np.cumsum(size) - size
+        text = data[np.repeat(low - begin, size) + np.arange(int(size.sum()))]
+        ids, counts = self.encoder.encode(text, begin)
+        n = self.n_known + len(low)
+        for name, used in (("ids", self.n_ids + len(ids)), ("bytes", self.n_bytes + len(text)), ("at", n), ("count", n), ("byte_at", n), ("size", n)):
+            self._room(name, used)
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.bytes[self.n_bytes : self.n_bytes + len(text)] = text
+        own = slice(self.n_known, n)
+        self.at[own], self.count[own] = self.n_ids + np.cumsum(counts) - counts, counts
+        self.byte_at[own], self.size[own] = self.n_bytes + begin, size
+        self.n_known, self.n_ids, self.n_bytes = n, self.n_ids + len(ids), self.n_bytes + len(text)
+        return np.arange(own.start, own.stop, dtype=np.int32)
+
     def _pieces(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The number under which each piece is remembered."""
-        ends = np.append(starts[1:], len(data))
-        keys = span_hashes(_byte_values()[data], starts, ends)
+        sizes = np.diff(np.append(starts, len(data)))
+        keys = span_hashes(_byte_values()[data], starts, starts + sizes)
         known = self.known.get(keys)
         new = np.flatnonzero(known < 0)
         if len(new):
             distinct, first, inverse = np.unique(keys[new], return_index=True, return_inverse=True)
-            low, size = starts[new[first]], (ends - starts)[new[first]]
-            begin = np.cumsum(size) - size
-            ids, counts = self.encoder.encode(data[np.repeat(low - begin, size) + np.arange(int(size.sum()))], begin)
-            self._room("ids", self.n_ids + len(ids))
-            self._room("at", self.n_known + len(distinct))
-            self._room("count", self.n_known + len(distinct))
-            self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-            own = slice(self.n_known, self.n_known + len(distinct))
-            self.at[own], self.count[own] = self.n_ids + np.cumsum(counts) - counts, counts
-            number = np.arange(own.start, own.stop, dtype=np.int32)
+            number = self._remember(data, starts[new[first]], sizes[new[first]])
             self.known.put(distinct, number)
-            self.n_known, self.n_ids = own.stop, self.n_ids + len(ids)
             known[new] = number[inverse]
+        same = self.size[known] == sizes
+        if same.all():  # the usual case: pieces follow each other, so data is compared as a whole
+            differ = np.flatnonzero(data != self.bytes[np.repeat(self.byte_at[known] - starts, sizes) + np.arange(len(data))])
+            same[np.searchsorted(starts, differ, "right") - 1] = False
+        else:
+            of = np.flatnonzero(same)
+            same[of] = same_spans(data, starts[of], self.bytes, self.byte_at[known[of]], sizes[of])
+        for i in np.flatnonzero(~same).tolist():
+            piece = data[starts[i] : starts[i] + sizes[i]].tobytes()
+            if (number := self.clashing.get(piece)) is None:
+                number = self.clashing[piece] = int(self._remember(data, starts[i : i + 1], sizes[i : i + 1])[0])
+            known[i] = number
         return known
 
     def chunks(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -172,7 +212,7 @@ class TextEncoder:
             low = high
 
     def _chunk(self, data: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if self.n_ids > MAX_REMEMBERED:
+        if max(self.n_ids, self.n_bytes // 8) > MAX_REMEMBERED:
             self._forget()
         if not len(data):
             return np.zeros(len(text) - 1, np.int64), np.empty(0, np.int32)

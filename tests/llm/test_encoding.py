@@ -126,3 +126,28 @@ def test_operator(spark, truth):
     assert sorted((r.doc_id or 0, r.n_tokens) for r in token_lengths(df).collect()) == sorted([(i, len(x)) for i, x in enumerate(truth(TEXTS))] * 2)
     assert encode_corpus(df.limit(0)).count() == 0
     assert encode_corpus(df.selectExpr("doc_id AS k", "text AS body"), key="k", text="body").columns == ["k", "ids"]
+
+
+def thue_morse(size, a, b):
+    return "".join(b if i.bit_count() % 2 else a for i in range(size))
+
+
+def test_pieces_with_equal_hashes(truth):
+    """Complementary Thue-Morse words have equal polynomial hashes modulo 2**64, whatever the base: they are told apart."""
+    import numpy as np
+
+    words = [thue_morse(1 << k, *pair) for k in range(10, 14) for pair in ("ab", "ba", "xy", "yx")]
+    for w, v in zip(words[::2], words[1::2]):
+        data = np.frombuffer((w + v).encode(), np.uint8)
+        low, high = text_encoding.span_hashes(text_encoding._byte_values()[data], np.array([0, len(w)]), np.array([len(w), 2 * len(w)]))
+        assert low == high
+    want = truth(words)
+    assert want[0] != want[1]
+    e = TextEncoder(default_path())
+    assert ids(e, words) == want and e.clashing
+    assert ids(e, words[::-1]) == want[::-1]  # known ones
+    e = TextEncoder(default_path())
+    for w, x in zip(words, want):  # over several batches
+        assert ids(e, [w, f"{w} and {w}"])[0] == x
+    mixed = [" ".join(words[i : i + 3]) + "." for i in range(10)] + TEXTS
+    assert ids(e, mixed) == truth(mixed)
