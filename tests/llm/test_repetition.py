@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark.sql import functions as F
 
 from millrace.llm import repetition as R
 from tests.conftest import rows
@@ -89,18 +90,55 @@ def test_forest_sets_cases_apart(spark):
     assert np.mean([c > o for c in case for o in other]) > 0.9  # held-out ranking quality
 
 
-def test_threshold_is_below_every_possible_case():
+def test_bound_is_below_every_possible_case():
     rng = np.random.default_rng(3)
     x = rng.random((500, 4)) ** 3
-    forest = R.IsolationForest.grow(x, trees=20, rows=64).calibrated(x, x[:, 0] > 0.95, 0, 0.4)
+    forest = R.IsolationForest.grow(x, trees=20, rows=64)
+    forest.calibrated(x, x[:, 0] > 0.95, 0.9, forest.least_score(0, 0.4))
     possible = rng.random((5000, 4)) * 2
     possible[:, 0] = 0.4 + rng.random(5000)
-    assert (forest.scores(possible) >= forest.threshold).all()
+    assert (forest.scores(possible) >= forest.bound).all()
+
+
+def test_threshold_follows_the_labels(spark):
+    """Other labels and another recall give other thresholds; the stated recall holds on the held-out labelled rows."""
+    _, df = corpus(spark, 2000)
+    stats = R.repetition(df).cache()
+    by_rule, wider, none = (R.fit_forest(stats, "doc_id", label=label) for label in (None, F.col("same_unit_share") > 0.1, F.lit(False)))
+    assert by_rule.held_out > 50 and by_rule.recall >= R.RECALL and by_rule.threshold > by_rule.bound
+    assert wider.threshold < by_rule.threshold and wider.held_out > by_rule.held_out
+    assert none.threshold == none.bound and none.held_out == 0
+    loose = R.fit_forest(stats, "doc_id", recall=0.5)
+    assert loose.threshold > by_rule.threshold and 0.5 <= loose.recall < by_rule.recall
+    counted = {r[0]: r[1] for r in R.anomalies(df, recall=0.5).groupBy("is_candidate").count().collect()}
+    assert counted[True] < R.anomalies(df).where("is_candidate").count() < sum(counted.values())
+
+
+def thue_morse(size, a, b):
+    return "".join(b if i.bit_count() % 2 else a for i in range(size))
+
+
+def test_units_with_equal_hashes():
+    """Complementary Thue-Morse words have equal polynomial hashes: they are told apart, in units, lines and sentences."""
+    a, b = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice((a, b)) for _ in range(30)) for _ in range(5)] + [f"{a}\n{b}\n{a}\n", f"{a} x. {b} x. {b} x."]
+    m = counted(texts)
+    assert list(map(tuple, m[:3].T.tolist())) == [plain(t) for t in texts]
+    assert m[4].tolist()[-2] == 1024 and m[6].tolist()[-1] == 1024 + 3
+
+
+def test_groups_with_equal_keys():
+    values = [5, 7, 5, 7, 9, 7, 5]
+    v = np.array(values)
+    group, again = R._groups(np.zeros(7, np.uint64), lambda i, j: v[i] == v[j], lambda i: values[i])
+    assert again.tolist() == [False, False, True, True, False, True, True]
+    assert all((group[i] == group[j]) == (values[i] == values[j]) for i in range(7) for j in range(7))
 
 
 def test_empty_and_clashing_columns(spark):
     _, df = corpus(spark, 3)
     assert R.repetition(df).columns == ["doc_id", *R.COUNTS, *R.SHARES] and R.repetition(df).count() == 3 + len(TEXTS)
-    assert R.repeated_texts(df.limit(0)).count() == 0 and R.anomalies(df.limit(0)).columns[-2:] == ["score", "is_candidate"]
+    assert R.repeated_texts(df.limit(0)).count() == 0 and R.anomalies(df.limit(0)).columns[-3:] == ["score", "is_candidate", "is_possible"]
     same = spark.createDataFrame([(None, "a b c d e f g " * 9)] * 3, "doc_id bigint, text string")
     assert rows(R.repeated_texts(same)) == [(None,)] * 3
