@@ -1,14 +1,17 @@
 """Packing of texts into containers of fixed capacity (problem 7).
 
 Sizes are counted in one pass; everything after it works on the histogram of sizes, which has at most `capacity`
-entries however large the corpus is. Patterns of two or three texts that fill a container are enumerated, their
-repeat counts fitted to the histogram by non-negative least squares and rounded; what the patterns leave over is packed
-best-fit, the largest sizes first, again by counts. The n-th text of each size then looks up its place.
+entries however large the corpus is. Patterns of few larger texts are enumerated by class of size; non-negative least
+squares fit their repeat counts to the number of texts of each class and their free space to what the small texts need.
+The counts are rounded down and the rest is fitted again, until nothing is placed any more; what is left, the small texts
+above all, is packed best-fit into the patterns' free space, the largest sizes first. The n-th text of each size then
+looks up its place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,63 +20,74 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.arrowops import wide_rows
 from millrace.llm.text_encoding import text_encoder
 from millrace.llm.vocabulary import default_path
 from millrace.session import ensure_checkpoint_dir
 
 CAPACITY = 2048
-#: Sizes are rounded up to at most so many steps for the patterns; at 2,048 or less every size is exact.
-STEPS = 2048
-#: Patterns that are used, those with the most repeats: bounds the plan, whatever the corpus. The rest is packed best-fit.
-PATTERNS = 8192
-#: Rounds of the least-squares fit.
-ROUNDS = 150
-
-
-def fill_patterns(histogram: np.ndarray, capacity: int) -> np.ndarray:
-    """Rows of three step numbers, ascending, that occur and add up to a full container; 0 stands for no text."""
-    there = histogram > 0
-    there[0] = True
-    low = np.flatnonzero(there[: capacity // 3 + 1])
-    out = []
-    for a in low.tolist():
-        b = np.flatnonzero(there[: (capacity - a) // 2 + 1])
-        b = b[b >= a] if a else b
-        c = capacity - a - b
-        ok = there[c] & (c < capacity)
-        if a == 0:
-            ok &= b > 0
-        b, c = b[ok], c[ok]
-        out.append(np.stack([np.full(len(b), a), b, c], 1))
-    return np.concatenate(out) if out else np.empty((0, 3), np.int64)
-
-
-def fit(patterns: np.ndarray, histogram: np.ndarray) -> np.ndarray:
-    """Repeat counts >= 0 of the patterns whose sizes come closest to the histogram: accelerated projected gradient.
-
-    A size weighs with its share of the container, as small texts are easy to place later.
-    """
-    n = len(histogram)
-    weight = np.arange(n) / (n - 1)
-    weight[0] = 0
-    uses = np.bincount(patterns.ravel(), minlength=n).astype(float)
-    step = 1.0 / max(1e-9, 3 * float((uses * weight**2).max()))  # 1 / (largest row sum times largest column sum)
-    x = y = np.zeros(len(patterns))
-    t = 1.0
-    for _ in range(ROUNDS):
-        miss = (np.bincount(patterns.ravel(), np.repeat(y, 3), n) - histogram) * weight**2
-        new = np.maximum(0, y - step * miss[patterns].sum(1))
-        t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        y = new + (t - 1) / t_new * (new - x)
-        x, t = new, t_new
-    return x
+#: Classes of sizes that patterns are made of, and the part of a container below which a text is in no pattern but fills up
+#: what the patterns leave free. Each of these is tried, the plan with the fewest containers is used.
+SETTINGS = [(64, 3), (64, 8), (128, 3)]
+
+
+@lru_cache(maxsize=4)
+def patterns_of(classes: int, least: int) -> np.ndarray:
+    """Uses of each class (a column per pattern) by every set of classes, repeats allowed, from `least` on that add up to
+    at most `classes`."""
+    out: list[list[int]] = []
+
+    def extend(chosen: list[int], room: int) -> None:
+        for c in range(chosen[-1] if chosen else least, room + 1):
+            out.append([*chosen, c])
+            extend(out[-1], room - c)
+
+    extend([], classes)
+    uses = np.zeros((classes + 1, len(out)))
+    for p, chosen in enumerate(out):
+        for c in chosen:
+            uses[c, p] += 1
+    return uses
+
+
+def non_negative_least_squares(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
+    """x >= 0 with the least |a x - b|, by the active-set method: at most as many entries are positive as a has rows."""
+    n = a.shape[1]
+    x, used, refused = np.zeros(n), np.zeros(n, bool), np.zeros(n, bool)
+    least = tolerance * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
+    while True:
+        gain = a.T @ (b - a @ x)
+        gain[used | refused] = -np.inf
+        best = int(gain.argmax()) if n else 0
+        if not n or gain[best] <= least or used.sum() >= len(b):
+            return x
+        used[best] = True
+        while used.any():
+            own = np.flatnonzero(used)
+            free = np.linalg.lstsq(a[:, own], b, rcond=None)[0]
+            if (free > 0).all():
+                x[:] = 0
+                x[own] = free
+                break
+            # go towards it as far as no entry falls below zero; the entries that reach zero are used no longer
+            old, low = x[own], free <= 0
+            steps = np.full(len(own), np.inf)
+            steps[low] = old[low] / np.maximum(old[low] - free[low], 1e-300)
+            step = steps.min()
+            x[own] = np.maximum(0, old + step * (free - old))
+            gone = own[low & (steps <= step)]
+            x[gone], used[gone] = 0, False
+        if used[best]:
+            refused[:] = False
+        else:
+            refused[best] = True  # it came back to zero at once, by rounding
 
 
 class Plan:
     """Slots of containers: texts first.. of a size go to containers base.., `many` to each, from `offset` on."""
 
     def __init__(self, capacity: int):
-        self.capacity, self.n_containers = capacity, 0
+        self.capacity, self.n_containers, self.from_patterns = capacity, 0, 0
         self.slots: list[tuple[int, int, int, int, int]] = []  # size, first, base, many, offset
         self.taken: dict[int, int] = {}
 
@@ -85,48 +99,62 @@ class Plan:
 
 def plan_containers(counts: dict[int, int], capacity: int) -> Plan:
     """Places for counts[size] texts of each size from 1 to capacity."""
+    plans = [_plan(counts, capacity, *s) for s in SETTINGS]
+    return min(plans, key=lambda p: (p.n_containers, -p.from_patterns))
+
+
+def _plan(counts: dict[int, int], capacity: int, most_classes: int, part: int) -> Plan:
     plan = Plan(capacity)
     left = dict(counts)
     if full := left.pop(capacity, 0):
         plan.put(capacity, 0, full, 1, 0)
         plan.n_containers = full
 
-    step = -(-capacity // STEPS)
-    steps = capacity // step
-    histogram = np.zeros(steps + 1)
-    for size, n in left.items():
-        if (k := -(-size // step)) <= steps:
-            histogram[k] += n
-    patterns = fill_patterns(histogram, steps)
     # open: containers with room, as room -> list of (base, containers)
     open_: dict[int, list[tuple[int, int]]] = {}
-    if len(patterns):
-        repeats = np.rint(fit(patterns, histogram)).astype(np.int64)
-        at_step: dict[int, list[int]] = {}
-        for size in sorted(left, reverse=True):
-            at_step.setdefault(-(-size // step), []).append(size)
-        room = {k: sum(left[s] for s in sizes) for k, sizes in at_step.items()}
-        for p in np.argsort(-repeats, kind="stable")[:PATTERNS].tolist():
+    step = -(-capacity // most_classes)
+    classes = capacity // step
+    least = max(1, classes // part)
+    uses = patterns_of(classes, least)
+    in_class: dict[int, list[int]] = {}
+    for size in sorted(left, reverse=True):
+        if least <= (c := -(-size // step)) <= classes:
+            in_class.setdefault(c, []).append(size)
+    small = sum(size * n for size, n in left.items() if not least <= -(-size // step) <= classes)
+
+    placed = True
+    while placed:
+        placed = False
+        number = np.array([sum(left[s] for s in in_class.get(c, ())) for c in range(classes + 1)])
+        tokens = np.array([sum(s * left[s] for s in in_class.get(c, ())) for c in range(classes + 1)])
+        mean = np.divide(tokens, number, out=np.arange(classes + 1) * float(step), where=number > 0)
+        able = np.flatnonzero((uses <= number[:, None]).all(0))
+        gap = capacity - mean @ uses[:, able]
+        # A row per class and one for the small texts, in containers' worth of tokens.
+        a, b = np.vstack((uses[:, able] * mean[:, None], gap)) / capacity, np.append(tokens, max(small, 0)) / capacity
+        repeats = np.floor(non_negative_least_squares(a[np.r_[number > 0, True]], b[np.r_[number > 0, True]]) + 1e-6).astype(np.int64)
+        for p in np.argsort(-repeats, kind="stable").tolist():
             if repeats[p] <= 0:
                 break
-            parts = [k for k in patterns[p].tolist() if k]
-            times = min([int(repeats[p]), *(room[k] // parts.count(k) for k in parts)])
-            while times > 0:  # several sizes of a step are used up one after the other
+            parts = np.repeat(np.arange(classes + 1), uses[:, able[p]].astype(int)).tolist()
+            times = min([int(repeats[p]), *(sum(left[s] for s in in_class[c]) // parts.count(c) for c in parts)])
+            while times > 0:  # several sizes of a class are used up one after the other
                 sizes: list[int] = []
-                for k in parts:
-                    sizes.append(next(s for s in at_step[k] if left[s] > sizes.count(s)))
+                for c in parts:
+                    sizes.append(next(s for s in in_class[c] if left[s] > sizes.count(s)))
                 now = min(times, *(left[s] // sizes.count(s) for s in sizes))
                 offset = 0
                 for s in sizes:
                     plan.put(s, plan.n_containers, now, 1, offset)
                     left[s] -= now
                     offset += s
-                for k in parts:
-                    room[k] -= now
                 if offset < capacity:
                     open_.setdefault(capacity - offset, []).append((plan.n_containers, now))
+                small -= now * (capacity - offset)
                 plan.n_containers += now
                 times -= now
+                placed = True
+    plan.from_patterns = plan.n_containers
 
     rooms = 0
     for r in open_:
@@ -180,7 +208,7 @@ def text_parts(documents: DataFrame, *, key: str, text: str, capacity: int, path
             seen += many
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), *map(pa.array, (start, size, np.full(len(size), part), nth))], names=schema.names)
 
-    return documents.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return wide_rows(documents).select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def pack_texts(documents: DataFrame, *, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -200,7 +228,7 @@ def pack_texts(documents: DataFrame, *, key: str = "doc_id", text: str = "text",
     offsets = by_task.select("part", "n_tokens", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     numbered = parts.join(offsets, ["part", "n_tokens"], "left").select(key, "start_token", "n_tokens", (F.col("nth") + F.col("before")).alias("nth"))
 
-    # The plan's size depends on the capacity, not on the corpus; see PATTERNS.
+    # The plan's size depends on the capacity, not on the corpus: a fit has at most a pattern per class and one more.
     slots = np.array(sorted(plan.slots), np.int64).reshape(-1, 5)
     size_at = np.searchsorted(slots[:, 0], np.arange(capacity + 2))
     longest = int(np.diff(size_at).max(initial=0))

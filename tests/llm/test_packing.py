@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from millrace.llm import packing
-from millrace.llm.packing import container_fill, fill_patterns, fit, pack_texts, plan_containers
+from millrace.llm.packing import container_fill, non_negative_least_squares, pack_texts, patterns_of, plan_containers
 
 pytest.importorskip("public_tokenizers")
 
@@ -42,33 +42,66 @@ def test_plan_is_valid(capacity, sizes):
         assert all(a + s <= b for (a, s), (b, _) in zip(box, [*box[1:], (capacity, 0)]))
 
 
-def test_steps_coarser_than_sizes(monkeypatch):
-    monkeypatch.setattr(packing, "STEPS", 100)
+def test_classes_coarser_than_sizes(monkeypatch):
+    monkeypatch.setattr(packing, "SETTINGS", [(20, 3), (20, 8)])
     rng = random.Random(1)
     counts = {s: rng.randrange(1, 30) for s in range(1, 1001, 3)}
     plan = plan_containers(dict(counts), 1000)
     boxes = laid_out(plan, counts)
     assert all(p + s <= 1000 for box in boxes.values() for p, s in box)
-    assert plan.n_containers <= 1.03 * sum(s * n for s, n in counts.items()) / 1000
+    assert plan.n_containers <= 1.045 * sum(s * n for s, n in counts.items()) / 1000
 
 
-def test_fill_is_close_and_the_plan_bounded():
+@pytest.fixture(scope="module")
+def histogram():
+    """Sizes of the texts of sf0.1, as they are after full containers were cut off."""
+    import pyarrow.parquet as pq
+
+    from millrace.llm.text_encoding import text_encoder
+    from millrace.llm.vocabulary import default_path
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"]
+    n = np.concatenate([text_encoder(default_path()).lengths(c) for c in texts.chunks])
+    return np.bincount(n[n % 2048 > 0] % 2048, minlength=2049) + (n // 2048).sum() * (np.arange(2049) == 2048)
+
+
+@pytest.mark.parametrize("times", [1, 100, 10_000])
+def test_containers_come_from_patterns(histogram, times):
+    """Least squares place nearly all containers, and hardly any space stays unused, however large the corpus is."""
+    counts = {s: int(n) * times for s, n in enumerate(histogram) if n}
+    plan = plan_containers(dict(counts), 2048)
+    tokens = sum(s * n for s, n in counts.items())
+    assert plan.from_patterns >= 0.95 * plan.n_containers
+    assert plan.n_containers * 2048 * (1 - 0.0001) <= tokens
+    assert len(plan.slots) < 3 * 2048 + 65 * 8 * 32  # bounded by capacity and classes, not by the corpus
+
+
+def test_fill_is_close_on_other_sizes():
     rng = np.random.default_rng(2)
-    sizes = np.clip(np.exp(rng.normal(5.6, 1.0, 50_000)).astype(int), 1, 2048)
-    for times in (1, 1000):
-        counts = {int(s): int(n) * times for s, n in zip(*np.unique(sizes, return_counts=True))}
-        plan = plan_containers(counts, 2048)
-        assert plan.n_containers * 2048 < 1.005 * sizes.sum() * times
-        assert len(plan.slots) < 4 * packing.PATTERNS + 3 * 2048
-
-
-def test_patterns_and_fit():
-    h = np.zeros(11)
-    h[[1, 3, 4, 6]] = 50, 30, 30, 70
-    patterns = fill_patterns(h, 10)
-    assert {tuple(p) for p in patterns.tolist()} == {(0, 4, 6), (1, 3, 6), (3, 3, 4)}
-    x = fit(patterns, h)
-    assert (x >= 0).all() and abs(np.bincount(patterns.ravel(), np.repeat(x, 3), 11)[6] - 70) < 8
+    kinds = [(np.clip(np.exp(rng.normal(5.6, 1.0, 50_000)).astype(int), 1, 2048), 0.001), (rng.integers(1, 2049, 50_000), 0.015), (rng.integers(1, 500, 50_000), 0.001)]
+    for sizes, unused in kinds:  # the more small texts, the less stays unused
+        for times in (1, 1000):
+            counts = {int(s): int(n) * times for s, n in zip(*np.unique(sizes, return_counts=True))}
+            plan = plan_containers(counts, 2048)
+            assert plan.n_containers * 2048 * (1 - unused) < sizes.sum() * times and plan.from_patterns > 0.5 * plan.n_containers
+            assert len(plan.slots) < 20_000
+
+
+def test_patterns():
+    uses = patterns_of(10, 3)
+    found = {tuple(np.repeat(np.arange(11), uses[:, p].astype(int)).tolist()) for p in range(uses.shape[1])}
+    assert found == {(3,), (4,), (5,), (6,), (7,), (8,), (9,), (10,), (3, 3), (3, 4), (3, 5), (3, 6), (3, 7), (4, 4), (4, 5), (4, 6), (5, 5), (3, 3, 3), (3, 3, 4)}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_least_squares(seed):
+    """The conditions of the optimum: no gradient where x is positive, none downhill where it is zero."""
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(0, 3, (8, 40)).astype(float), rng.random(8) * (50 if seed % 2 else 1)
+    x = non_negative_least_squares(a, b)
+    gain = a.T @ (b - a @ x)
+    assert (x >= 0).all() and (x > 0).sum() <= 8
+    assert np.abs(gain[x > 0]).max(initial=0) < 1e-6 * (1 + b.max()) and gain.max() < 1e-6 * (1 + b.max())
 
 
 def test_operator(spark):
