@@ -1,7 +1,13 @@
-"""Structured Streaming over files of events: windows, sessions, de-duplication, sinks (an extension of the dialect)."""
+"""Structured Streaming over files of events: windows, sessions, de-duplication, sinks (an extension of the dialect).
+
+State is bounded by the watermark throughout: windows and sessions are given out once they are closed (append mode), keys
+and custom state are forgotten after it, and rows that come later than it allows are dropped.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -37,43 +43,98 @@ def sessions(stream: DataFrame, at: str, gap: str, keys: list[str], aggs: list)
 
 
 def deduplicated(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """The first event of each key within the watermark."""
+    """The first event of each key; copies that come within the watermark are dropped, after it the key is forgotten."""
     return stream.dropDuplicatesWithinWatermark(keys)
 
 
-def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run the stream over all that is there and return its result, written by foreachBatch to the shared folder.
+#: A time beyond all events: a row of it moves the watermark past every open window.
+END = dt.datetime(2200, 1, 1)
+
+
+def _folder(spark: SparkSession, path: str) -> str:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+    return path
 
-    In complete mode each batch replaces the result, in append mode batches are added; a batch that is run again after
-    a failure writes the same folder again.
-    """
-    spark = stream.sparkSession
-    out = scratch(spark, "stream")
+
+def _run(stream: DataFrame, out: str, mode: str, progress: list[dict] | None) -> None:
+    """All that is there now, written by foreachBatch: a batch that is run again after a failure writes the same folder."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/result" if mode == "complete" else f"{out}/result/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{out}/result/batch={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    result = spark.read.schema(stream.schema).parquet(f"{out}/result")
-    return result.select(*stream.columns)
+    if progress is not None and query.lastProgress:
+        progress += [p if isinstance(p, dict) else json.loads(p.json) for p in query.recentProgress]
+
+
+def drained(path: str, source: DataFrame, at: str, delay: str, build: Callable[[DataFrame], DataFrame], mode: str = "append", progress: list[dict] | None = None) -> DataFrame:
+    """The result of build(stream) over the files of path, to the end: a last row beyond all events closes what is open.
 
+    source: a DataFrame of the files' columns. stream has the event time `at` as a timestamp with a watermark of `delay`.
+    In update mode the result has every update, with its batch. progress gets the progress of each batch.
+    """
+    spark = source.sparkSession
+    out = scratch(spark, "stream")
+    closing = _folder(spark, f"{out}/closing")
+    stream = file_stream(spark, path, source.schema).unionByName(file_stream(spark, closing, source.schema))
+    result = build(timed(stream, at, delay))
+    _run(result, out, mode, progress)
+    _close(spark, source, at, closing)
+    _run(result, out, mode, progress)
+    return _result(result, out, mode)
 
-def running_totals(stream: DataFrame, key: str, value: str) -> DataFrame:
-    """A custom stateful operator: number and sum of each key so far, given out once per batch that touches it."""
+
+def replayed(parts: list[DataFrame], at: str, delay: str, build: Callable[[DataFrame], DataFrame], mode: str = "append", progress: list[dict] | None = None) -> DataFrame:
+    """As drained, but the rows of each part arrive after those of the parts before it."""
+    spark = parts[0].sparkSession
+    out = scratch(spark, "replay")
+    arrived = _folder(spark, f"{out}/arrived")
+    result = build(timed(file_stream(spark, f"{arrived}/*", parts[0].schema), at, delay))
+    for i, part in enumerate(parts):
+        part.write.parquet(f"{arrived}/{i:06d}")
+        _run(result, out, mode, progress)
+    _close(spark, parts[0], at, f"{arrived}/last")
+    _run(result, out, mode, progress)
+    return _result(result, out, mode)
+
+
+def _close(spark: SparkSession, source: DataFrame, at: str, folder: str) -> None:
+    last = [F.lit(END if f.name == at else None).cast(f.dataType).alias(f.name) for f in source.schema.fields]
+    spark.range(1).select(*last).coalesce(1).write.mode("append").parquet(folder)
+
+
+def _result(stream: DataFrame, out: str, mode: str) -> DataFrame:
+    schema = T.StructType([*stream.schema.fields, *([T.StructField("batch", T.LongType())] if mode == "update" else [])])
+    return stream.sparkSession.read.schema(schema).parquet(f"{out}/result").select(*schema.names)
+
+
+def running_totals(stream: DataFrame, key: str, value: str, at: str, idle: dt.timedelta = dt.timedelta(days=1)) -> DataFrame:
+    """A custom stateful operator: number and sum of each key so far, given out once per batch that touches it.
+
+    A key's state is forgotten once the watermark is `idle` beyond its last event; rows with a null key make a group.
+    """
     kind = stream.schema[key].dataType.simpleString()
-    out, state = f"`{key}` {kind}, n bigint, total double", "n bigint, total double"
+    out, state = f"`{key}` {kind}, n bigint, total double", "n bigint, total double, last bigint"
+    wait = int(idle.total_seconds() * 1000)
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        n, total = held.get if held.exists else (0, 0.0)
+        if held.hasTimedOut:
+            held.remove()
+            return
+        n, total, last = held.get if held.exists else (0, 0.0, 0)
         for frame in frames:
             n, total = n + len(frame), total + float(frame[value].sum())
-        held.update((n, total))
+            if pd.notna(latest := frame[at].max()):
+                last = max(last, int(latest.timestamp() * 1000))
+        held.update((n, total, last))
+        held.setTimeoutTimestamp(max(last + wait, held.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [k[0]], "n": [n], "total": [total]})
 
-    return stream.select(key, value).groupBy(key).applyInPandasWithState(step, out, state, "update", GroupStateTimeout.NoTimeout)
+    return stream.select(key, value, at).groupBy(key).applyInPandasWithState(step, out, state, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def into_table(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
