@@ -13,8 +13,8 @@ def _c(x: ColumnOrName) -> Column:
 
 
 def regexp_like(s: ColumnOrName, pattern: str) -> Column:
-    """Whole-string, case-insensitive match; a null subject is false."""
-    return F.coalesce(_c(s).rlike(f"(?i)^(?:{pattern})$"), F.lit(False))
+    """Whole-string, case-insensitive match, to the last line break; a null subject is false."""
+    return F.coalesce(_c(s).rlike(rf"(?i)\A(?:{pattern})\z"), F.lit(False))
 
 
 def instr0(hay: ColumnOrName, needle: ColumnOrName) -> Column:

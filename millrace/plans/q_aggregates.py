@@ -133,9 +133,11 @@ def agg_pivot(t: Tables) -> DataFrame:
     return d.select("o_orderpriority", F.col("F").alias("f"), F.col("O").alias("o"), F.col("P").alias("p"))
 
 
-@query("agg_approx_distinct")
+@query("agg_approx_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, true AS within_error FROM lineitem GROUP BY 1")
 def agg_approx_distinct(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
+    """Whether the approximation is within three times its stated standard error of the exact number."""
+    d = t.lineitem.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"), F.count_distinct("l_partkey").alias("exact"))
+    return d.select("l_returnflag", "exact", (F.abs(F.col("parts") - F.col("exact")) <= 0.06 * F.col("exact")).alias("within_error"))
 
 
 @query("agg_skewed_two_phase", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +35,9 @@ def udf_sql_registered(t: Tables) -> DataFrame:
 @query("udaf_grouped", "SELECT l_returnflag, round(exp(avg(ln(l_quantity))), 8) AS geo_mean FROM lineitem GROUP BY 1")
 def udaf_grouped(t: Tables) -> DataFrame:
     """init, accumulate, merge, terminate: a geometric mean."""
-    import math
-
     d = U.aggregate(
-        t.lineitem, ["l_returnflag"], "l_quantity", init=lambda: (0, 0.0), accumulate=lambda s, v: (s[0] + len(v), s[1] + float(v.map(math.log).sum())), merge=lambda a, b: (a[0] + b[0], a[1] + b[1]),
-        terminate=lambda s: math.exp(s[1] / s[0]) if s[0] else None, name="geo_mean", returns="double",
+        t.lineitem, ["l_returnflag"], "l_quantity", init=lambda: (0, 0.0), accumulate=lambda s, v: (s[0] + len(v), s[1] + float(np.log(v).sum())), merge=lambda a, b: (a[0] + b[0], a[1] + b[1]),
+        terminate=lambda s: float(np.exp(s[1] / s[0])) if s[0] else None, name="geo_mean", returns="double",
     )
     return d.select("l_returnflag", F.round("geo_mean", 8).alias("geo_mean"))
 
@@ -72,9 +71,13 @@ def stats_columns(t: Tables) -> DataFrame:
     return St.column_statistics(t.orders, ["o_custkey", "o_orderstatus"], exact=True).withColumn("avg_width", F.round("avg_width", 6))
 
 
-@query("stats_quantiles")
+@query("stats_quantiles", "SELECT p::DOUBLE AS point, true AS within_error FROM (VALUES (0.1), (0.25), (0.5), (0.75), (0.9)) v(p)")
 def stats_quantiles(t: Tables) -> DataFrame:
-    return St.quantiles(t.lineitem, "l_extendedprice", [0.1, 0.25, 0.5, 0.75, 0.9])
+    """Approximate quantiles: whether each one's rank is within the stated error of the rows."""
+    q = St.quantiles(t.lineitem, "l_extendedprice", [0.1, 0.25, 0.5, 0.75, 0.9], 1000)
+    n = t.lineitem.agg(F.count("l_extendedprice")).scalar()
+    ranked = t.lineitem.select("l_extendedprice").join(F.broadcast(q), F.col("l_extendedprice") <= F.col("value")).groupBy("point").agg(F.count(F.lit(1)).alias("below"))
+    return ranked.select("point", (F.abs(F.col("below") - F.col("point") * n) <= n / 500 + 1).alias("within_error"))
 
 
 @query("stats_frequencies", "SELECT source AS value, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, value ASC NULLS LAST LIMIT 5")
@@ -87,11 +90,12 @@ def stats_selectivity(t: Tables) -> DataFrame:
     return St.selectivity(t.lineitem, F.col("l_quantity") < 10)
 
 
-@query("stats_theta_sketch")
+@query("stats_theta_sketch", "SELECT true AS within_error")
 def stats_theta_sketch(t: Tables) -> DataFrame:
-    """Distinct customers per order status and in total from mergeable sketches."""
+    """Distinct customers in total from mergeable sketches per order status: whether they are within 5 % of the exact number."""
     d = t.orders.groupBy("o_orderstatus").agg(F.theta_sketch_agg("o_custkey").alias("sketch"))
-    return d.agg(F.theta_sketch_estimate(F.theta_union_agg("sketch")).alias("customers"))
+    exact = t.orders.agg(F.count_distinct("o_custkey")).scalar()
+    return d.agg(F.theta_sketch_estimate(F.theta_union_agg("sketch")).alias("customers")).select((F.abs(F.col("customers") - exact) <= 0.05 * exact).alias("within_error"))
 
 
 @query("export_csv_roundtrip", "SELECT c_custkey, c_name, c_acctbal FROM customer")

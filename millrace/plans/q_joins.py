@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.catalog import Tables
-from millrace.operators.joins import bounded_broadcast, cogroup_counts, nearest_before, range_join
+from millrace.operators.joins import bounded_broadcast, cogroup, cogroup_counts, nearest_before, range_join
+from millrace.plans.sqlfront import run_sql
 from millrace.registry import Registry
 
 registry = Registry()
@@ -127,6 +129,72 @@ def join_not_exists_on(t: Tables) -> DataFrame:
     return o.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
 
 
+_NATIONS = "(SELECT n_nationkey AS a, n_regionkey AS ra FROM nation WHERE n_nationkey < 20) AS x"
+_SUPPLIERS = "(SELECT s_suppkey AS s, s_nationkey AS b FROM supplier WHERE s_nationkey > 3) AS y"
+_NULLABLE = "(SELECT CASE WHEN r_regionkey = 2 THEN NULL ELSE r_regionkey END FROM region)"
+
+
+def _on(kind: str, flags: str, condition: str) -> str:
+    """The twin of a join with a sub-query in ON: the sub-query's answer is a column of the side that it refers to."""
+    x, y = _NATIONS.replace(" AS x", ""), _SUPPLIERS.replace(" AS y", "")
+    return f"SELECT a, ra, s, b FROM (SELECT *, {flags.split('|')[0]} FROM {x}) x {kind} JOIN (SELECT *, {flags.split('|')[1]} FROM {y}) y ON a = b AND {condition}"
+
+
+def _on_query(t: Tables, kind: str, condition: str) -> DataFrame:
+    return run_sql(t, f"SELECT a, ra, s, b FROM {_NATIONS} {kind} JOIN {_SUPPLIERS} ON a = b AND {condition}")
+
+
+@query("join_on_in_right", _on("RIGHT", "true AS f|b IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900) AS g", "g"))
+def join_on_in_right(t: Tables) -> DataFrame:
+    """IN in the ON of a RIGHT join, about the side that is kept: rows for which it fails stay, without a partner."""
+    return _on_query(t, "RIGHT", "b IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)")
+
+
+@query("join_on_exists_full", _on("FULL", "EXISTS (SELECT 1 FROM region WHERE r_regionkey = ra AND r_regionkey > 1) AS f|true AS g", "f"))
+def join_on_exists_full(t: Tables) -> DataFrame:
+    return _on_query(t, "FULL", "EXISTS (SELECT 1 FROM region WHERE r_regionkey = ra AND r_regionkey > 1)")
+
+
+@query("join_on_not_in", _on("FULL", f"coalesce(ra NOT IN {_NULLABLE}, false) AS f|coalesce(b NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey < 9), false) AS g", "f AND g"))
+def join_on_not_in(t: Tables) -> DataFrame:
+    """NOT IN over values with a null is never true, in the ON of a FULL join too."""
+    return _on_query(t, "FULL", f"ra NOT IN {_NULLABLE} AND b NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey < 9)")
+
+
+@query("join_on_not_in_left", _on("LEFT", "true AS f|coalesce(b NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey < 9), false) AS g", "g"))
+def join_on_not_in_left(t: Tables) -> DataFrame:
+    return _on_query(t, "LEFT OUTER", "b NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey < 9)")
+
+
+@query("join_on_any", _on("LEFT", "a < (SELECT max(r_regionkey) * 3 FROM region) AS f|true AS g", "f"))
+def join_on_any(t: Tables) -> DataFrame:
+    return _on_query(t, "LEFT", "a < ANY (SELECT r_regionkey * 3 FROM region)")
+
+
+@query("join_on_all", _on("RIGHT", "true AS f|b > (SELECT max(r_regionkey) FROM region) AS g", "g"))
+def join_on_all(t: Tables) -> DataFrame:
+    return _on_query(t, "RIGHT", "b > ALL (SELECT r_regionkey FROM region)")
+
+
+@query("join_anti_nested_loop", "SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM region WHERE s_nationkey BETWEEN r_regionkey * 6 AND r_regionkey * 6 + 2)")
+def join_anti_nested_loop(t: Tables) -> DataFrame:
+    """An anti join without an equality: against a table of checked size."""
+    return t.supplier.join(bounded_broadcast(t.region), F.expr("s_nationkey BETWEEN r_regionkey * 6 AND r_regionkey * 6 + 2"), "left_anti").select("s_suppkey")
+
+
+@query("join_cogroup_frames", "SELECT coalesce(s_nationkey, c_nationkey) AS nationkey, coalesce(s.best, -1.0) AS best_supplier, coalesce(c.best, -1.0) AS best_customer FROM (SELECT s_nationkey, max(s_acctbal) AS best FROM supplier GROUP BY 1) s FULL JOIN (SELECT c_nationkey, max(c_acctbal) AS best FROM customer GROUP BY 1) c ON s_nationkey = c_nationkey")
+def join_cogroup_frames(t: Tables) -> DataFrame:
+    """Any function of the two groups of a key; both sides are combined per key before they meet."""
+    best = lambda df, p: df.groupBy(F.col(f"{p}_nationkey").alias("nationkey")).agg(F.max(f"{p}_acctbal").alias("best"))
+    one = lambda f: float(f["best"].iloc[0]) if len(f) else -1.0
+
+    def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        key = (a if len(a) else b)["nationkey"].iloc[0]
+        return pd.DataFrame({"nationkey": [key], "best_supplier": [one(a)], "best_customer": [one(b)]})
+
+    return cogroup(best(t.supplier, "s"), best(t.customer, "c"), ["nationkey"], both, "nationkey int, best_supplier double, best_customer double")
+
+
 @query("join_broadcast_hint", "SELECT n_name, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
 def join_broadcast_hint(t: Tables) -> DataFrame:
     """A build side is only broadcast if its files are small enough; see bounded_broadcast."""

@@ -31,9 +31,12 @@ def str_basic(t: Tables) -> DataFrame:
     )
 
 
-@query("str_regexp_like", "SELECT doc_id, coalesce(regexp_full_match(source, '(SQL|sql)_.*', 'i'), false) AS is_sql, coalesce(regexp_full_match(lang, 'e.', 'i'), false) AS e_lang FROM documents")
+@query("str_regexp_like", "SELECT doc_id, coalesce(regexp_full_match(source, '(SQL|sql)_.*', 'i'), false) AS is_sql, coalesce(regexp_full_match(lang, 'e.', 'i'), false) AS e_lang, false AS with_break, source IS NOT NULL AS break_meant FROM documents")
 def str_regexp_like(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", S.regexp_like("source", "(SQL|sql)_.*").alias("is_sql"), S.regexp_like("lang", "e.").alias("e_lang"))
+    return t.documents.select(
+        "doc_id", S.regexp_like("source", "(SQL|sql)_.*").alias("is_sql"), S.regexp_like("lang", "e.").alias("e_lang"),
+        S.regexp_like(F.concat("source", F.lit("\n")), "\\w+").alias("with_break"), S.regexp_like(F.concat("source", F.lit("\n")), "\\w+\\n").alias("break_meant"),
+    )
 
 
 @query(
@@ -137,6 +140,18 @@ def math_trunc_round_pow(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "decimal_defaults",
+    """SELECT o_orderkey, o_orderkey::DECIMAL(19,0)::DOUBLE AS of_key, trunc(o_totalprice)::DOUBLE AS of_price, (trunc(o_totalprice::DECIMAL(15,2) * 10) / 10)::DOUBLE AS one_place,
+strftime(o_orderdate, '%Y%m%d')::BIGINT::DOUBLE AS of_date FROM orders""",
+)
+def decimal_defaults(t: Tables) -> DataFrame:
+    """DECIMAL(x) with the precision of its argument's type."""
+    d = t.orders.withColumn("day", F.to_date("o_orderdate"))
+    of = lambda name, *a: N.decimal_by_type(d, name, *a).cast("double")
+    return d.select("o_orderkey", of("o_orderkey").alias("of_key"), of("o_totalprice").alias("of_price"), of("o_totalprice", 15, 1).alias("one_place"), of("day").alias("of_date"))
+
+
 @query("array_element", "SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS first, len(embedding)::INTEGER AS n, embedding[1000] IS NULL AS beyond, [vec_id, 1, 1][2] AS second FROM embeddings")
 def array_element(t: Tables) -> DataFrame:
     return t.embeddings.select(

@@ -49,10 +49,13 @@ def values_rows(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(1, "a", None), (2, None, 2.5), (3, "c", -1.0)], "id int, name string, x double")
 
 
-@query("sample_scan")
+@query("sample_scan", "SELECT true AS about_a_tenth, true AS all_known")
 def sample_scan(t: Tables) -> DataFrame:
-    """A sampling operator: a tenth of the rows, by a fixed seed."""
-    return t.lineitem.sample(0.1, 42).select("l_orderkey", "l_linenumber")
+    """A sampling operator: a tenth of the rows, by a fixed seed; whether they are that many, and rows of the table."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"]
+    some = t.lineitem.sample(0.1, 42).select(*keys)
+    n, unknown = t.lineitem.agg(F.count(F.lit(1))).scalar(), some.join(t.lineitem.select(*keys), keys, "left_anti").agg(F.count(F.lit(1))).scalar()
+    return some.agg(F.count(F.lit(1)).alias("k")).select((F.abs(F.col("k") - 0.1 * n) <= 5 * F.sqrt(0.09 * n)).alias("about_a_tenth"), (unknown == 0).alias("all_known"))
 
 
 @query("filter_compare", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 30 AND l_discount <> 0.05 AND l_tax < 0.06 AND l_extendedprice > 20000")

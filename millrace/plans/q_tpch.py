@@ -187,3 +187,70 @@ def tpch_q22_shape(t: Tables) -> DataFrame:
     k = t.customer.where("c_nationkey IN (1, 3, 5, 7, 9, 11, 13)")
     rich = k.where(c("c_acctbal") > k.where("c_acctbal > 0").agg(F.avg("c_acctbal")).scalar())
     return rich.join(t.orders, c("c_custkey") == c("o_custkey"), "left_anti").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("numcust"), F.round(F.sum("c_acctbal"), 2).alias("totacctbal"))
+
+
+@query(
+    "tpch_q4_shape",
+    """SELECT o_orderpriority, count(*) AS order_count FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01'
+AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY o_orderpriority""",
+)
+def tpch_q4_shape(t: Tables) -> DataFrame:
+    """Q4 with the return flag in the place of the late receipt."""
+    o = t.orders.where((c("o_orderdate") >= ts("1995-01-01")) & (c("o_orderdate") < ts("1996-01-01")))
+    return o.join(t.lineitem.where("l_returnflag = 'R'"), c("o_orderkey") == c("l_orderkey"), "left_semi").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("order_count"))
+
+
+@query(
+    "tpch_q9_shape",
+    """SELECT n_name AS nation, year(o_orderdate)::INTEGER AS o_year, round(sum(l_extendedprice * (1 - l_discount) - 0.5 * p_retailprice * l_quantity), 2) AS sum_profit FROM part, supplier, lineitem, orders, nation
+WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_name LIKE '%ring%' GROUP BY 1, 2""",
+)
+def tpch_q9_shape(t: Tables) -> DataFrame:
+    """Q9, half the retail price standing for the supply cost."""
+    d = t.lineitem.join(t.part.where(c("p_name").like("%ring%")), c("l_partkey") == c("p_partkey")).join(t.orders, c("l_orderkey") == c("o_orderkey"))
+    d = d.join(t.supplier, c("l_suppkey") == c("s_suppkey")).join(t.nation, c("s_nationkey") == c("n_nationkey"))
+    profit = volume() - 0.5 * c("p_retailprice") * c("l_quantity")
+    return d.groupBy(c("n_name").alias("nation"), F.year("o_orderdate").alias("o_year")).agg(F.round(F.sum(profit), 2).alias("sum_profit"))
+
+
+@query(
+    "tpch_q16_shape",
+    """SELECT p_brand, p_type, p_size, count(DISTINCT l_suppkey) AS supplier_cnt FROM lineitem, part WHERE p_partkey = l_partkey AND p_brand <> 'Brand#4' AND p_type NOT LIKE 'ECON%' AND p_size IN (1, 4, 9, 14, 23, 36, 45, 49)
+AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY 1, 2, 3""",
+)
+def tpch_q16_shape(t: Tables) -> DataFrame:
+    """Q16 with the lines as the suppliers of a part."""
+    p = t.part.where((c("p_brand") != "Brand#4") & ~c("p_type").like("ECON%") & c("p_size").isin(1, 4, 9, 14, 23, 36, 45, 49))
+    d = t.lineitem.join(p, c("l_partkey") == c("p_partkey")).join(t.supplier.where("s_acctbal < 0"), c("l_suppkey") == c("s_suppkey"), "left_anti")
+    return d.groupBy("p_brand", "p_type", "p_size").agg(F.count_distinct("l_suppkey").alias("supplier_cnt"))
+
+
+@query(
+    "tpch_q20_shape",
+    """SELECT s_name FROM supplier, nation WHERE s_nationkey = n_nationkey AND n_regionkey = 1 AND s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE 'small%')
+AND l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' GROUP BY l_suppkey, l_partkey HAVING sum(l_quantity) > 40)""",
+)
+def tpch_q20_shape(t: Tables) -> DataFrame:
+    """Q20 with the quantity shipped in the place of the stock."""
+    small = t.part.where(c("p_name").like("small%"))
+    d = t.lineitem.where((c("l_shipdate") >= ts("1996-01-01")) & (c("l_shipdate") < ts("1997-01-01"))).join(small, c("l_partkey") == c("p_partkey"), "left_semi")
+    much = d.groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("q")).where("q > 40")
+    s = t.supplier.join(t.nation.where("n_regionkey = 1"), c("s_nationkey") == c("n_nationkey"))
+    return s.join(much, c("s_suppkey") == c("l_suppkey"), "left_semi").select("s_name")
+
+
+@query(
+    "tpch_q21_shape",
+    """SELECT s_name, count(*) AS numwait FROM supplier, lineitem l1, orders WHERE s_suppkey = l1.l_suppkey AND o_orderkey = l1.l_orderkey AND o_orderstatus = 'F' AND l1.l_returnflag = 'R'
+AND EXISTS (SELECT 1 FROM lineitem l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_suppkey <> l1.l_suppkey)
+AND NOT EXISTS (SELECT 1 FROM lineitem l3 WHERE l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_returnflag = 'R') GROUP BY s_name""",
+)
+def tpch_q21_shape(t: Tables) -> DataFrame:
+    """Q21: lines that alone of their order's suppliers were returned. The suppliers of an order, and those returned, are
+    counted in one aggregation in the place of the two self-joins."""
+    flag = F.when(c("l_returnflag") == "R", c("l_suppkey"))
+    per = t.lineitem.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("lo"), F.max("l_suppkey").alias("hi"), F.min(flag).alias("r_lo"), F.max(flag).alias("r_hi"))
+    alone = per.where("lo < hi AND r_lo = r_hi").select(c("l_orderkey").alias("k"), "r_lo")
+    f = t.orders.where("o_orderstatus = 'F'").join(alone, c("o_orderkey") == c("k"))
+    d = t.lineitem.where("l_returnflag = 'R'").join(f, (c("l_orderkey") == c("k")) & (c("l_suppkey") == c("r_lo"))).join(t.supplier, c("l_suppkey") == c("s_suppkey"))
+    return d.groupBy("s_name").agg(F.count(F.lit(1)).alias("numwait"))

@@ -24,7 +24,7 @@ def text(s):
 @pytest.mark.parametrize(
     ("expr", "want"),
     [
-        (lambda: S.regexp_like(text("ABC"), "a.c"), True), (lambda: S.regexp_like(text("xABC"), "a.c"), False), (lambda: S.regexp_like(text(None), "a"), False),
+        (lambda: S.regexp_like(text("ABC"), "a.c"), True), (lambda: S.regexp_like(text("xABC"), "a.c"), False), (lambda: S.regexp_like(text(None), "a"), False), (lambda: S.regexp_like(text("abc\n"), "abc"), False), (lambda: S.regexp_like(text("abc\n"), "abc\\s|x"), True),
         (lambda: S.instr0(text("hay"), text("")), 0), (lambda: S.instr0(text(None), text("a")), 0), (lambda: S.instr0(text("hay"), text("y")), 3),
         (lambda: S.rtrim_ws(text("a \t\n")), "a"), (lambda: S.chr256(F.lit(-1)), "ÿ"), (lambda: S.chr256(F.lit(256 + 65)), "A"),
         (lambda: S.translate(text("ABC"), "a", "AB"), "a C"), (lambda: S.translate(text("ABC"), "abx", "AB"), "abC"), (lambda: S.digits(F.lit(Decimal("-12.5")), 6), "000125"),
@@ -58,3 +58,18 @@ def test_sequence_without_gaps(spark):
 def test_string_agg_of_nothing(spark):
     df = spark.createDataFrame([("a", "y"), ("a", None), ("a", "x"), ("b", None)], "k string, v string")
     assert {r.k: r.s for r in df.groupBy("k").agg(S.string_agg("v").alias("s")).collect()} == {"a": "x,y", "b": None}
+
+
+def test_decimal_by_type(spark):
+    import datetime as dt
+
+    d = spark.createDataFrame(
+        [(1, 2, 3.99, "4,59", dt.date(2025, 3, 4), dt.datetime(2025, 3, 4, 5, 6, 7, 8), Decimal("-9.99")), (None,) * 7],
+        "i int, b bigint, f double, s string, d date, t timestamp_ntz, n decimal(9,2)",
+    )
+    got = d.select(*(N.decimal_by_type(d, c, *a).alias(c) for c, a in {"i": (), "b": (), "f": (), "s": (5, 1, ","), "d": (), "t": (), "n": (9, 1)}.items()))
+    assert [f.dataType.simpleString() for f in got.schema.fields] == ["decimal(11,0)", "decimal(19,0)", "decimal(15,0)", "decimal(5,1)", "decimal(8,0)", "decimal(20,6)", "decimal(9,1)"]
+    first, second = got.collect()
+    assert tuple(first) == (1, 2, 3, Decimal("4.5"), 20250304, Decimal("20250304050607.000008"), Decimal("-9.9")) and tuple(second) == (None,) * 7
+    with pytest.raises(ValueError):
+        N.decimal_by_type(d, "d", 7)

@@ -144,3 +144,21 @@ def test_export_of_nothing(spark, tmp_path):
     assert W.export_files(spark.createDataFrame([], "k int"), f"'{tmp_path}/none'").first()[0] == 0
     assert W.export_files(spark.createDataFrame([(1e-7,), (1.5,)], "x double").coalesce(1), f"'{tmp_path}/plain'", floats="'plain'").first()[0] == 2
     assert sorted("".join(p.read_text() for p in (tmp_path / "plain").glob("part-*")).split()) == ["0.000000100", "1.500000000"]
+
+
+def test_nearest_before_across_ranges(spark):
+    """Against a plain loop: hot key, nulls, values that are carried over many ranges."""
+    import datetime as dt
+    import random
+
+    rng = random.Random(4)
+    time = lambda: rng.choice([None, *(dt.datetime(2025, 1, 1) + dt.timedelta(minutes=rng.randrange(5000)) for _ in range(20))])
+    left = [(rng.choice([1, 1, 1, 2, None]), time(), i) for i in range(200)]
+    right = list({(k, t): (k, t, v) for k, t, v in ((rng.choice([1, 1, 2, None]), time(), i) for i in range(60))}.values())
+    want = []
+    for k, t, i in left:
+        before = [r for r in right if r[0] == k and t is not None and r[1] is not None and r[1] <= t]
+        want.append((k, t, i, max(before, key=lambda r: r[1])[2] if before else None))
+    a, b = spark.createDataFrame(left, "k int, t timestamp_ntz, i int").repartition(3), spark.createDataFrame(right, "k int, t timestamp_ntz, v int")
+    for width in (60, 3600, 86_400, 10**9):
+        assert rows(J.nearest_before(a, b, keys=["k"], at="t", values=["v"], width_s=width)) == sorted(want, key=repr)
