@@ -16,10 +16,21 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        #: Tables that can be changed, by name; they hide those of the folder.
+        self.changeable: dict[str, object] = {}
+
+    def attach(self, name: str, table: object) -> None:
+        """Make a changeable table known by a name, to queries and to INSERT, UPDATE, DELETE and MERGE."""
+        self.changeable[name.lower()] = table
+
+    def names(self) -> list[str]:
+        return sorted({*NAMES, *self.changeable})
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
+        if name in self.changeable:
+            return self.changeable[name].read()
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def sql(self, text: str, *names: str) -> DataFrame:

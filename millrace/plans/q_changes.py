@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.catalog import Tables
 from millrace.operators import dml
+from millrace.plans.changes import change_by_sql
+from millrace.plans.sqlfront import run_sql
 from millrace.registry import Registry
-from millrace.sources.table import ChangeableTable
+from millrace.sources.table import ChangeableTable, ForeignKey, Trigger, Violation
 from millrace.sources.writers import scratch
 
 registry = Registry()
@@ -105,3 +108,84 @@ def table_time_travel(t: Tables) -> DataFrame:
     first = table.insert(t.nation)
     table.delete(c("n_regionkey") > 0)
     return table.read(first)
+
+
+@query(
+    "constraint_fk_enforced",
+    """SELECT 'order of nobody' AS attempt, true AS refused UNION ALL SELECT 'customer with orders goes', true UNION ALL SELECT 'key without value', true UNION ALL SELECT 'customer without orders goes', false
+UNION ALL SELECT 'rows kept', (SELECT count(*) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)) IS NULL""",
+)
+def constraint_fk_enforced(t: Tables) -> DataFrame:
+    """Foreign and primary keys hold on write: which attempts are refused."""
+    key = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_name", T.StringType())])
+    customers = ChangeableTable.create(t.spark, scratch(t.spark, "table"), key, primary=["c_custkey"])
+    reference = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_custkey", T.LongType())])
+    orders = ChangeableTable.create(t.spark, scratch(t.spark, "table"), reference, primary=["o_orderkey"], references=[ForeignKey(["o_custkey"], customers.path, ["c_custkey"])])
+    customers.insert(t.customer.select("c_custkey", "c_name"))
+    orders.insert(t.orders.select("o_orderkey", "o_custkey"))
+    with_orders = t.orders.agg(F.min("o_custkey")).scalar()
+    nobody = t.spark.createDataFrame([(-1, -1)], "o_orderkey bigint, o_custkey bigint")
+    nameless = t.spark.createDataFrame([(None, "x")], "c_custkey bigint, c_name string")
+    busy = orders.read().select(c("o_custkey").alias("k")).distinct()
+    idle = lambda how: lambda rows: rows.join(busy, c("c_custkey") == c("k"), how)
+    attempts = {
+        "order of nobody": lambda: orders.insert(nobody), "customer with orders goes": lambda: customers.delete(c("c_custkey") == with_orders), "key without value": lambda: customers.insert(nameless),
+        "customer without orders goes": lambda: customers.change("delete", idle("left_anti"), idle("left_semi")),
+    }
+    out = []
+    for name, attempt in attempts.items():
+        try:
+            attempt()
+            out.append((name, False))
+        except (Violation, PySparkException):
+            out.append((name, True))
+    left = customers.read().join(busy, c("c_custkey") == c("k"), "full").where("k IS NULL OR c_custkey IS NULL")
+    out.append(("rows kept", not left.isEmpty()))
+    return t.spark.createDataFrame(out, "attempt string, refused boolean")
+
+
+@query(
+    "trigger_statement",
+    """SELECT 'raised' AS what, s_nationkey AS nation, count(*) AS n, round(sum(s_acctbal), 2) AS total FROM supplier WHERE s_acctbal < 0 GROUP BY 2
+UNION ALL SELECT 'gone', s_nationkey, count(*), round(sum(s_acctbal), 2) FROM supplier WHERE s_nationkey = 3 AND s_acctbal >= 0 GROUP BY 2""",
+)
+def trigger_statement(t: Tables) -> DataFrame:
+    """Statement triggers with transition tables and WHEN, which fill a log; one whose condition fails does nothing."""
+    kind = T.StructType([T.StructField("s_suppkey", T.LongType()), T.StructField("s_nationkey", T.IntegerType()), T.StructField("s_acctbal", T.DoubleType())])
+    log_kind = T.StructType([T.StructField("what", T.StringType()), T.StructField("nation", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType())])
+    table = ChangeableTable.create(t.spark, scratch(t.spark, "table"), kind, primary=["s_suppkey"])
+    log = ChangeableTable.create(t.spark, scratch(t.spark, "table"), log_kind)
+    per = "SELECT '{what}' AS what, s_nationkey AS nation, count(*) AS n, sum(s_acctbal) AS total FROM {{old_rows}} GROUP BY s_nationkey"
+    table.add_trigger(Trigger("raised", "UPDATE", per.format(what="raised"), log.path, when="(SELECT count(*) FROM {new_rows} WHERE s_acctbal = 0) > 0", columns=["s_acctbal"]))
+    table.add_trigger(Trigger("never", "UPDATE", per.format(what="never"), log.path, when="(SELECT max(s_acctbal) FROM {new_rows}) > 0"))
+    table.add_trigger(Trigger("gone", "DELETE", per.format(what="gone"), log.path))
+    table.insert(t.supplier.select(*kind.names))
+    table.update(c("s_acctbal") < 0, s_acctbal=F.lit(0.0))
+    table.delete((c("s_nationkey") == 3) & (c("s_acctbal") > 0))
+    return log.read().withColumn("total", F.round("total", 2))
+
+
+_STOCK = [
+    "INSERT INTO stock (k, what) SELECT p_partkey, p_name FROM part",
+    "UPDATE stock SET n = (k + 1) * 1.5, what = upper(what) WHERE k IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)",
+    "DELETE FROM stock WHERE n IS NULL AND what LIKE 'small%'",
+    """MERGE INTO stock s USING (SELECT DISTINCT s_suppkey * 7 AS k, s_name FROM supplier) u ON s.k = u.k
+WHEN MATCHED THEN UPDATE SET what = u.s_name, n = -1 WHEN NOT MATCHED THEN INSERT (k, what) VALUES (u.k, 'new')""",
+]
+
+
+@query(
+    "dml_sql_text",
+    """WITH raised AS (SELECT p_partkey AS k, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) AS hit, p_name FROM part),
+updated AS (SELECT k, CASE WHEN hit THEN upper(p_name) ELSE p_name END AS what, CASE WHEN hit THEN (k + 1) * 1.5 END::DOUBLE AS n FROM raised WHERE hit OR NOT starts_with(p_name, 'small')),
+u AS (SELECT DISTINCT s_suppkey * 7 AS k, s_name FROM supplier)
+SELECT coalesce(s.k, u.k) AS k, CASE WHEN s.k IS NULL THEN 'new' WHEN u.k IS NULL THEN what ELSE s_name END AS what, CASE WHEN u.k IS NULL THEN n WHEN s.k IS NOT NULL THEN -1 END::DOUBLE AS n FROM updated s FULL JOIN u ON s.k = u.k""",
+)
+def dml_sql_text(t: Tables) -> DataFrame:
+    """INSERT, UPDATE, DELETE and MERGE as SQL texts, with sub-queries over other tables."""
+    kind = T.StructType([T.StructField("k", T.LongType()), T.StructField("what", T.StringType()), T.StructField("n", T.DoubleType())])
+    own = Tables(t.spark, t.folder)
+    own.attach("stock", ChangeableTable.create(t.spark, scratch(t.spark, "table"), kind, primary=["k"]))
+    for text in _STOCK:
+        change_by_sql(own, text)
+    return run_sql(own, "SELECT k, what, n FROM stock")

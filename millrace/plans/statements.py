@@ -1,4 +1,4 @@
-"""Statements of the dialect beside queries: CALL, EXPLAIN, SET SESSION PROPERTY, SIGNAL."""
+"""Statements of the dialect: changes of tables, CALL, EXPLAIN, SET SESSION PROPERTY, SIGNAL, queries."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.catalog import Tables
 from millrace.operators.results import EXPLAIN, explained
 from millrace.operators.statistics import column_statistics
+from millrace.plans.changes import change_by_sql
 from millrace.plans.sqlfront import _arguments, run_sql, tokens
 
 Procedure = Callable[..., DataFrame]
@@ -52,11 +53,13 @@ def _literal(text: str) -> object:
 
 
 def execute(t: Tables, text: str) -> DataFrame:
-    """Run one statement; queries and EXPORT go to run_sql.
+    """Run one statement; INSERT, UPDATE, DELETE, MERGE and TRUNCATE go to change_by_sql, queries and EXPORT to run_sql.
 
     EXPLAIN gives the plan in one row; SET SESSION PROPERTY the new value; SIGNAL SQLSTATE raises when its result is read.
     """
     text = text.strip().rstrip(";")
+    if (changed := change_by_sql(t, text)) is not None:
+        return changed
     if m := re.fullmatch(r"CALL\s+([\w.]+)\s*\((.*)\)", text, re.I | re.S):
         arguments = [_literal(a) for a in _arguments(tokens(m[2])) if a.strip()]
         return procedures.call(t, m[1].rpartition(".")[2], *arguments)
