@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +15,7 @@ from pyspark.sql import types as T
 from millrace.arrowops import wide_rows
 from millrace.llm.prefix_bpe import PrefixEncoder
 from millrace.llm.text_encoding import code_points, piece_starts, text_encoder
-from millrace.llm.vocabulary import Vocabulary, default_path
+from millrace.llm.vocabulary import Vocabulary, default_path, vocabulary
 
 
 def encode_corpus(documents: DataFrame, *, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -36,6 +38,38 @@ def encode_corpus(documents: DataFrame, *, key: str = "doc_id", text: str = "tex
     return wide_rows(documents).select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+@lru_cache(maxsize=2)
+def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all tokens one after the other, and where each begins."""
+    tokens = vocabulary(path).tokens
+    return np.frombuffer(b"".join(tokens), np.uint8), np.append(0, np.cumsum([len(t) for t in tokens]))
+
+
+def decode_corpus(encoded: DataFrame, *, key: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
+    """key and text, the text of each list of ids: the reverse of encode_corpus (null texts come back empty).
+
+    A null list gives an empty text. Lists that are no encoding may give bytes that are no UTF-8: an error.
+    """
+    path = path or default_path()
+    schema = T.StructType([encoded.schema[key], T.StructField("text", T.StringType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, begin = _token_bytes(path)
+        for b in batches:
+            column = b.column(1)
+            token = pc.list_flatten(column).to_numpy(zero_copy_only=False)
+            counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            size = begin[token + 1] - begin[token]
+            stop = np.cumsum(size)
+            text = data[np.repeat(begin[token] - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
+            offsets = np.append(0, stop)[np.append(0, np.cumsum(counts))]
+            out = pa.LargeStringArray.from_buffers(len(counts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(text))
+            out.validate(full=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), out.cast(pa.string())], names=[key, "text"])
+
+    return wide_rows(encoded).select(key, ids).mapInArrow(run, schema)
+
+
 def token_lengths(documents: DataFrame, *, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """key and n_tokens, the number of ids of each text; 0 for null and empty ones."""
     path = path or default_path()

@@ -151,3 +151,16 @@ def test_pieces_with_equal_hashes(truth):
         assert ids(e, [w, f"{w} and {w}"])[0] == x
     mixed = [" ".join(words[i : i + 3]) + "." for i in range(10)] + TEXTS
     assert ids(e, mixed) == truth(mixed)
+
+
+def test_decoding(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.llm.encoding_ops import decode_corpus
+    from tests.conftest import rows
+
+    df = spark.createDataFrame([(i if i % 5 else None, t, 3) for i, t in enumerate(TEXTS)], "doc_id bigint, text string, ids int").repartition(3)
+    back = decode_corpus(encode_corpus(df.drop("ids")))
+    assert rows(back) == sorted([(i if i % 5 else None, t or "") for i, t in enumerate(TEXTS)], key=repr)
+    odd = spark.createDataFrame([(1, None), (2, [])], "doc_id bigint, ids array<int>").withColumn("text", F.lit("x"))
+    assert rows(decode_corpus(odd)) == [(1, ""), (2, "")] and decode_corpus(odd.limit(0)).count() == 0
