@@ -62,8 +62,54 @@ def with_sequence(df: DataFrame, column: str, order: list[Column], start: int =
     return joined.withColumn(column, F.lit(start).cast("bigint") + (F.col("_before") + F.col("_nth") - 1) * step).drop("_part", "_nth", "_before")
 
 
+#: Length of a value that its type alone decides.
+LENGTHS = {"tinyint": 1, "boolean": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "date": 4, "time": 3, "timestamp": 10}
+
+
+def length_by_type(df: DataFrame, name: str) -> Column:
+    """LENGTH of any type: bytes of numbers and times by their type, the declared length of CHAR(n), characters of other
+    texts, bytes of binaries; null for null."""
+    field = df.schema[name]
+    kind = field.dataType.simpleString().split("(")[0].removesuffix("_ntz")
+    value = F.col(name)
+    declared = field.metadata.get("__CHAR_VARCHAR_TYPE_STRING", "") if field.metadata else ""
+    if declared.startswith("char("):
+        length = F.lit(int(declared[5:-1]))
+    elif kind == "decimal":
+        length = F.lit(field.dataType.precision // 2 + 1)
+    elif kind in LENGTHS:
+        length = F.lit(LENGTHS[kind])
+    else:
+        return F.length(value)
+    return F.when(value.isNotNull(), length)
+
+
+def java_static(class_name: str, method: str, *arguments: ColumnOrName) -> Column:
+    """The text of what a static Java method gives for the arguments; the class must be on the class path."""
+    return F.reflect(F.lit(class_name), F.lit(method), *map(_c, arguments))
+
+
+def map_of(keys: ColumnOrName, values: ColumnOrName) -> Column:
+    """A map from two arrays; of equal keys the last one stays."""
+    entries = F.arrays_zip(_c(keys).alias("k"), _c(values).alias("v"))
+    last = lambda e: F.array_max(F.transform(F.filter(F.transform(entries, lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"))), lambda x: x["k"] == e), lambda x: x["i"]))
+    distinct = F.array_distinct(_c(keys))
+    return F.map_from_arrays(distinct, F.transform(distinct, lambda e: F.get(_c(values), last(e))))
+
+
 def session_value(spark: SparkSession, name: str) -> str | None:
-    """CURRENT SCHEMA, CURRENT USER and session properties by name."""
+    """CURRENT SCHEMA, USER, ROLE, SERVER, ISOLATION, GROUP_USER and session properties by name.
+
+    The role and the groups are what the session properties millrace.role and millrace.groups say. Isolation is that of
+    changeable tables: a reader sees one version.
+    """
+    plain = name.upper().replace("_", " ")
+    if plain == "CURRENT SERVER":
+        return spark.catalog.currentCatalog()
+    if plain == "CURRENT ISOLATION":
+        return "SNAPSHOT"
+    if plain in ("CURRENT ROLE", "GROUP USER"):
+        return spark.conf.get("millrace.role" if plain == "CURRENT ROLE" else "millrace.groups", None)
     if name.upper() in ("CURRENT SCHEMA", "CURRENT_SCHEMA"):
         return spark.catalog.currentDatabase()
     if name.upper() in ("CURRENT_USER", "USER", "SESSION_USER", "SYSTEM_USER"):

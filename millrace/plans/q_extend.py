@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.catalog import Tables, table_columns
 from millrace.operators import statistics as St
 from millrace.operators import udfs as U
+from millrace.operators.results import materialized, result_batches
+from millrace.plans.statements import Called, call_statement, execute, procedures
 from millrace.registry import Registry
 from millrace.sources import readers as R
 from millrace.sources import writers as W
+from millrace.sources.table import ChangeableTable
 
 registry = Registry()
 query = registry.query
@@ -218,3 +225,159 @@ def materialized_scroll(t: Tables) -> DataFrame:
 @query("catalog_columns", "SELECT table_name, column_name, ordinal_position::INTEGER AS position FROM information_schema.columns WHERE table_name IN ('region', 'orders', 'lineitem') GROUP BY ALL")
 def catalog_columns(t: Tables) -> DataFrame:
     return table_columns(t, ["region", "orders", "lineitem"]).select("table_name", "column_name", "position")
+
+
+@query("read_by_extension", "SELECT c_custkey, c_name FROM customer")
+def read_by_extension(t: Tables) -> DataFrame:
+    """Files whose ending alone says what they are."""
+    path = W.scratch(t.spark, "ending")
+    d = t.customer.select("c_custkey", "c_name")
+    parts = {"orc": d.where("c_custkey % 3 = 0"), "json": d.where("c_custkey % 3 = 1"), "parquet": d.where("c_custkey % 3 = 2")}
+    for kind, part in parts.items():
+        W.write_external(part, f"{path}.{kind}", kind)
+    return reduce(DataFrame.unionByName, (R.read_external(t.spark, f"{path}.{kind}") for kind in parts))
+
+
+@query("external_refresh", "SELECT count(*) AS n FROM nation UNION ALL SELECT 2 * count(*) FROM nation")
+def external_refresh(t: Tables) -> DataFrame:
+    """Files that others add to an external table are seen after a refresh."""
+    path = W.scratch(t.spark, "external")
+    W.write_external(t.nation, path)
+    table = t.spark.read.parquet(path)
+    before = table.agg(F.count(F.lit(1)).alias("n")).collect()
+    W.write_external(t.nation, path, mode="append")
+    R.refresh(t.spark, path)
+    return t.spark.createDataFrame(before, "n bigint").unionAll(t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("pinned_table", "SELECT false AS before, true AS during, false AS after")
+def pinned_table(t: Tables) -> DataFrame:
+    d = t.nation
+    seen = [R.is_pinned(d), R.is_pinned(d.persist()), R.is_pinned(d.unpersist())]
+    return t.spark.createDataFrame([tuple(seen)], "before boolean, during boolean, after boolean")
+
+
+@query("table_from_rdd", "SELECT n_nationkey * 2 AS twice, n_name FROM nation")
+def table_from_rdd(t: Tables) -> DataFrame:
+    return R.from_rdd(t.nation.rdd.map(lambda r: (r.n_nationkey * 2, r.n_name)), "twice int, n_name string")
+
+
+@query("jdbc_table", "SELECT n_regionkey AS g, count(*)::INTEGER AS n FROM nation GROUP BY 1")
+def jdbc_table(t: Tables) -> DataFrame:
+    """A query of another database, the small one that comes with Spark."""
+    url, options = f"jdbc:derby:memory:t{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    t.nation.select(F.col("n_nationkey").alias("K"), F.col("n_regionkey").alias("G")).coalesce(1).write.format("jdbc").options(url=url, dbtable="x", **options).save()
+    return R.jdbc_query(t.spark, url, "SELECT g, count(*) AS n FROM x GROUP BY g", **options).toDF("g", "n")
+
+
+@query("bucketed_index", "SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey BETWEEN 100 AND 220")
+def bucketed_index(t: Tables) -> DataFrame:
+    """Tables laid out by a key, as an index on it would be: they meet without a shuffle."""
+    left, right = (f"millrace_{uuid.uuid4().hex}" for _ in range(2))
+    W.bucketed_table(t.orders.select("o_orderkey"), left, ["o_orderkey"], 4)
+    W.bucketed_table(t.lineitem.select("l_orderkey", "l_linenumber"), right, ["l_orderkey"], 4)
+    joined = t.spark.table(left).join(t.spark.table(right), F.col("o_orderkey") == F.col("l_orderkey")).where("o_orderkey BETWEEN 100 AND 220").select("o_orderkey", "l_linenumber")
+    out = materialized(joined)
+    for name in (left, right):
+        t.spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+@query("row_counts", "SELECT 'read' AS stage, count(*) AS n FROM lineitem UNION ALL SELECT 'filtered', count(*) FROM lineitem WHERE l_quantity > 30 UNION ALL SELECT 'joined', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 30 AND o_orderstatus = 'F'")
+def row_counts(t: Tables) -> DataFrame:
+    """Rows that pass each step, counted while the query runs."""
+    read, kept, joined = (Observation() for _ in range(3))
+    n = F.count(F.lit(1)).alias("n")
+    d = t.lineitem.observe(read, n).where("l_quantity > 30").observe(kept, n)
+    d = d.join(t.orders.where("o_orderstatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey")).observe(joined, n)
+    d.write.mode("overwrite").format("noop").save()
+    return t.spark.createDataFrame([(name, o.get["n"]) for name, o in (("read", read), ("filtered", kept), ("joined", joined))], "stage string, n bigint")
+
+
+@query("result_streaming", "SELECT (n - 1) // 1000 AS batch, count(*) AS n FROM (SELECT row_number() OVER () AS n FROM orders) GROUP BY 1")
+def result_streaming(t: Tables) -> DataFrame:
+    """A result that comes to the client in batches, a partition at a time."""
+    return t.spark.createDataFrame([(i, len(b)) for i, b in enumerate(result_batches(t.orders.select("o_orderkey"), 1000))], "batch bigint, n bigint")
+
+
+@query("explain_statement", "SELECT kind, true AS shows FROM (VALUES ('logical'), ('analyzed'), ('optimized'), ('executed')) v(kind)")
+def explain_statement(t: Tables) -> DataFrame:
+    """EXPLAIN of every kind names what it should."""
+    text = "SELECT TOP 3 n_name FROM nation WHERE n_nationkey > 3"
+    marks = {"logical": "Limit", "analyzed": "Filter", "optimized": "Relation", "executed": "FileScan"}
+    plans = {kind: execute(t, f"EXPLAIN {kind.upper()} {text}").first()[0] for kind in marks}
+    return t.spark.createDataFrame([(kind, mark in plans[kind]) for kind, mark in marks.items()], "kind string, shows boolean")
+
+
+@query("session_property", "SELECT 'recursivequeryiterationlimit' AS property, '77' AS value")
+def session_property(t: Tables) -> DataFrame:
+    setting = "spark.sql.cteRecursionLevelLimit"
+    before = t.spark.conf.get(setting)
+    try:
+        return t.spark.createDataFrame(execute(t, "SET SESSION PROPERTY recursiveQueryIterationLimit = 77").collect(), "property string, value string")
+    finally:
+        t.spark.conf.set(setting, before)
+
+
+@query("signal_sqlstate", "SELECT true AS raised, true AS with_state, true AS with_text")
+def signal_sqlstate(t: Tables) -> DataFrame:
+    try:
+        execute(t, "SIGNAL SQLSTATE '75001' ('too late')").collect()
+        said = ""
+    except PySparkException as e:
+        said = str(e)
+    return t.spark.createDataFrame([(bool(said), "75001" in said, "too late" in said)], "raised boolean, with_state boolean, with_text boolean")
+
+
+@query("procedure_out", "SELECT 'out' AS what, count(*) AS n FROM nation UNION ALL SELECT 'first', count(*) FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'second', count(*) FROM nation WHERE n_regionkey <> 1")
+def procedure_out(t: Tables) -> DataFrame:
+    """A procedure with an OUT parameter and two result sets."""
+    procedures.create("SPLIT_NATIONS", lambda t, region, n: Called([t.nation.where(F.col("n_regionkey") == region), t.nation.where(F.col("n_regionkey") != region)], {"n": t.nation.count()}))
+    done = call_statement(t, "CALL SPLIT_NATIONS(1, ?)")
+    return t.spark.createDataFrame([("out", done.out["n"]), *((w, s.count()) for w, s in zip(("first", "second"), done.sets))], "what string, n bigint")
+
+
+@query("statistics_sampled", "SELECT 'l_orderkey' AS column_name, true AS near UNION ALL SELECT 'l_quantity', true")
+def statistics_sampled(t: Tables) -> DataFrame:
+    """Statistics of a sample: whether the number of rows scaled up is near the true one."""
+    n = t.lineitem.agg(F.count(F.lit(1))).scalar()
+    d = execute(t, "CALL COLLECT_STATISTICS('lineitem', 20)").where("column_name IN ('l_orderkey', 'l_quantity')")
+    return d.select("column_name", (F.abs(F.col("n_rows") - n) < 0.1 * n + 50).alias("near"))
+
+
+@query("statistics_catalog", "SELECT count(*) AS n_rows FROM nation")
+def statistics_catalog(t: Tables) -> DataFrame:
+    """Statistics collected into the catalog, where the optimizer finds them."""
+    name = f"millrace_{uuid.uuid4().hex}"
+    t.nation.write.saveAsTable(name)
+    St.analyze_table(t.spark, name, ["n_nationkey"])
+    said = {r.col_name: r.data_type for r in t.spark.sql(f"DESCRIBE EXTENDED {name}").collect()}
+    t.spark.sql(f"DROP TABLE {name}")
+    return t.spark.createDataFrame([(int(said["Statistics"].split(", ")[1].split()[0]),)], "n_rows bigint")
+
+
+@query("kafka_record_format", "SELECT n_nationkey::VARCHAR AS key, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"region\":' || CASE WHEN n_regionkey = 0 THEN 'null' ELSE n_regionkey::VARCHAR END || '}' AS value FROM nation")
+def kafka_record_format(t: Tables) -> DataFrame:
+    """The records that EXPORT_KAFKA sends."""
+    return W.kafka_records(t.nation.select("n_nationkey", "n_name", F.nullif("n_regionkey", F.lit(0)).alias("region")), "n_nationkey")
+
+
+@query("transition_tables", "SELECT 'old' AS side, n_nationkey, n_name FROM nation WHERE n_regionkey = 2 OR n_nationkey = 0 UNION ALL SELECT 'new', n_nationkey, upper(n_name || '!') FROM nation WHERE n_regionkey = 2")
+def transition_tables(t: Tables) -> DataFrame:
+    """Old and new rows of the changes since a version."""
+    table = ChangeableTable.create(t.spark, W.scratch(t.spark, "table"), t.nation.select("n_nationkey", "n_name", "n_regionkey").schema, ["n_nationkey"])
+    at = table.insert(t.nation)
+    table.update(F.col("n_regionkey") == 2, n_name=F.upper(F.concat("n_name", F.lit("!"))))
+    table.delete(F.col("n_nationkey") == 0)
+    sides = [d.select(F.lit(side).alias("side"), "n_nationkey", "n_name") for side, d in zip(("old", "new"), table.changes(at))]
+    return sides[0].unionAll(sides[1])
+
+
+@query("iterator_in_chunks", "SELECT range AS k, 'x' || range AS v FROM range(2500)")
+def iterator_in_chunks(t: Tables) -> DataFrame:
+    """An iterator that the driver never holds whole."""
+    before, R.CHUNK = R.CHUNK, 1000
+    try:
+        return R.from_rows(t.spark, ((i, f"x{i}") for i in range(2500)), "k bigint, v string")
+    finally:
+        R.CHUNK = before

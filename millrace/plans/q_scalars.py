@@ -152,6 +152,40 @@ def decimal_defaults(t: Tables) -> DataFrame:
     return d.select("o_orderkey", of("o_orderkey").alias("of_key"), of("o_totalprice").alias("of_price"), of("o_totalprice", 15, 1).alias("one_place"), of("day").alias("of_date"))
 
 
+@query(
+    "length_by_type",
+    "SELECT o_orderkey, 8 AS of_key, length(o_orderstatus)::INTEGER AS of_text, 8 AS of_price, 8 AS of_decimal, 4 AS of_day, CASE WHEN o_orderkey % 2 = 0 THEN 4 END AS of_null, 10 AS of_time FROM orders",
+)
+def length_by_type(t: Tables) -> DataFrame:
+    """LENGTH of numbers and dates is that of their type."""
+    d = t.orders.withColumns({"dec": F.col("o_totalprice").cast("decimal(15,2)"), "day": F.to_date("o_orderdate"), "some": F.expr("if(o_orderkey % 2 = 0, cast(1 as int), null)")})
+    of = {"of_key": "o_orderkey", "of_text": "o_orderstatus", "of_price": "o_totalprice", "of_decimal": "dec", "of_day": "day", "of_null": "some", "of_time": "o_orderdate"}
+    return d.select("o_orderkey", *(M.length_by_type(d, c).alias(n) for n, c in of.items()))
+
+
+@query("java_static_method", "SELECT n_nationkey, lower(to_hex(n_nationkey::BIGINT)) AS hex, greatest(n_nationkey, 7)::VARCHAR AS larger FROM nation")
+def java_static_method(t: Tables) -> DataFrame:
+    k = F.col("n_nationkey")
+    return t.nation.select("n_nationkey", M.java_static("java.lang.Long", "toHexString", k.cast("bigint")).alias("hex"), M.java_static("java.lang.Math", "max", k, F.lit(7)).alias("larger"))
+
+
+@query("map_functions", "SELECT p_partkey, len(list_distinct([p_brand, p_type, p_brand]))::INTEGER AS n, 3 AS of_brand, map([p_type], [2])[p_type] AS of_type, false AS other FROM part")
+def map_functions(t: Tables) -> DataFrame:
+    m = M.map_of(F.array("p_brand", "p_type", "p_brand"), F.array(F.lit(1), F.lit(2), F.lit(3)))
+    d = t.part.withColumn("m", m)
+    return d.select("p_partkey", F.size("m").alias("n"), F.element_at("m", F.col("p_brand")).alias("of_brand"), F.element_at("m", F.col("p_type")).alias("of_type"), F.map_contains_key("m", F.lit("?")).alias("other"))
+
+
+@query("session_values", "SELECT 'SNAPSHOT' AS isolation, 'spark_catalog' AS server, 'reader' AS role, true AS no_group")
+def session_values(t: Tables) -> DataFrame:
+    t.spark.conf.set("millrace.role", "reader")
+    try:
+        found = [M.session_value(t.spark, n) for n in ("CURRENT ISOLATION", "CURRENT SERVER", "CURRENT_ROLE", "GROUP_USER")]
+    finally:
+        t.spark.conf.unset("millrace.role")
+    return t.spark.createDataFrame([(*found[:3], found[3] is None)], "isolation string, server string, role string, no_group boolean")
+
+
 @query("array_element", "SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS first, len(embedding)::INTEGER AS n, embedding[1000] IS NULL AS beyond, [vec_id, 1, 1][2] AS second FROM embeddings")
 def array_element(t: Tables) -> DataFrame:
     return t.embeddings.select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,14 +15,25 @@ from millrace.operators.statistics import column_statistics
 from millrace.plans.changes import change_by_sql
 from millrace.plans.sqlfront import _arguments, run_sql, tokens
 
-Procedure = Callable[..., DataFrame]
+
+
+@dataclass
+class Called:
+    """What a procedure gives back: result sets, and the values of its OUT and INOUT parameters by name."""
+
+    sets: list[DataFrame] = field(default_factory=list)
+    out: dict[str, object] = field(default_factory=dict)
+
+
+Procedure = Callable[..., DataFrame | Called]
 
 #: Session properties of the dialect by Spark's setting.
 PROPERTIES = {"olapshufflepartitions": "spark.sql.shuffle.partitions", "recursivequeryiterationlimit": "spark.sql.cteRecursionLevelLimit", "broadcastthreshold": "spark.sql.autoBroadcastJoinThreshold"}
 
 
 class Procedures:
-    """Procedures by name: functions of (tables, *arguments) that return a result set."""
+    """Procedures by name: functions of (tables, *arguments) that return a result set, or Called with several of them and
+    OUT parameters. In a CALL, a question mark stands for an OUT parameter; the procedure gets None for it."""
 
     def __init__(self) -> None:
         self._known: dict[str, Procedure] = {}
@@ -29,14 +41,29 @@ class Procedures:
     def create(self, name: str, procedure: Procedure) -> None:
         self._known[name.lower()] = procedure
 
-    def call(self, t: Tables, name: str, *arguments: object) -> DataFrame:
+    def call(self, t: Tables, name: str, *arguments: object) -> Called:
         if name.lower() not in self._known:
             raise ValueError(f"no procedure {name}")
-        return self._known[name.lower()](t, *arguments)
+        result = self._known[name.lower()](t, *arguments)
+        return result if isinstance(result, Called) else Called([result])
+
 
+def collect_statistics(t: Tables, table: str, percent: float = 100) -> DataFrame:
+    """COLLECT_STATISTICS(table [, percent]): of a sample of so many percent of the rows, with the numbers of rows and nulls
+    scaled up; the number of distinct values is that of the sample."""
+    df = getattr(t, str(table).lower())
+    if percent >= 100:
+        return column_statistics(df)
+    some = column_statistics(df.sample(percent / 100, 1))
+    return some.withColumns({c: F.round(F.col(c) * (100 / percent)).cast("bigint") for c in ("n_rows", "n_null")})
 
-def collect_statistics(t: Tables, table: str) -> DataFrame:
-    return column_statistics(getattr(t, str(table).lower()))
+
+def call_statement(t: Tables, text: str) -> Called | None:
+    """Run text if it is a CALL; its result sets and OUT parameters."""
+    if not (m := re.fullmatch(r"\s*CALL\s+([\w.]+)\s*\((.*)\)\s*;?\s*", text, re.I | re.S)):
+        return None
+    arguments = [_literal(a) for a in _arguments(tokens(m[2])) if a.strip()]
+    return procedures.call(t, m[1].rpartition(".")[2], *arguments)
 
 
 procedures = Procedures()
@@ -45,7 +72,7 @@ procedures.create("COLLECT_STATISTICS", collect_statistics)
 
 def _literal(text: str) -> object:
     text = text.strip()
-    if text.lower() == "null":
+    if text.lower() in ("null", "?"):
         return None
     if text.startswith("'"):
         return text[1:-1].replace("''", "'")
@@ -55,14 +82,16 @@ def _literal(text: str) -> object:
 def execute(t: Tables, text: str) -> DataFrame:
     """Run one statement; INSERT, UPDATE, DELETE, MERGE and TRUNCATE go to change_by_sql, queries and EXPORT to run_sql.
 
-    EXPLAIN gives the plan in one row; SET SESSION PROPERTY the new value; SIGNAL SQLSTATE raises when its result is read.
+    CALL gives the first result set, or without any a row of the OUT parameters; call_statement gives all. EXPLAIN gives the
+    plan in one row; SET SESSION PROPERTY the new value; SIGNAL SQLSTATE raises when its result is read.
     """
     text = text.strip().rstrip(";")
     if (changed := change_by_sql(t, text)) is not None:
         return changed
-    if m := re.fullmatch(r"CALL\s+([\w.]+)\s*\((.*)\)", text, re.I | re.S):
-        arguments = [_literal(a) for a in _arguments(tokens(m[2])) if a.strip()]
-        return procedures.call(t, m[1].rpartition(".")[2], *arguments)
+    if (called := call_statement(t, text)) is not None:
+        if called.sets:
+            return called.sets[0]
+        return t.spark.createDataFrame([tuple(str(v) if v is not None else None for v in called.out.values())], ", ".join(f"`{n}` string" for n in called.out))
     if m := re.fullmatch(rf"EXPLAIN\s+(?:({'|'.join(EXPLAIN)})\s+)?(?:PLAN\s+FOR\s+)?(.*)", text, re.I | re.S):
         return t.spark.createDataFrame([(explained(run_sql(t, m[2]), m[1] or "executed"),)], "plan string")
     if m := re.fullmatch(r"SET\s+SESSION[_\s]+PROPERTY\s+(\w+)\s*=\s*(.*)", text, re.I | re.S):

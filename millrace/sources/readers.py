@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from millrace.sources.writers import scratch
+
 #: Storage letters and extensions of external tables by Spark's format.
 FORMATS = {"P": "parquet", "O": "orc", "A": "avro", "T": "csv", "parquet": "parquet", "orc": "orc", "avro": "avro", "csv": "csv", "txt": "csv", "json": "json"}
 CORRUPT = "_corrupt_record"
+#: Rows of an iterator that the driver holds at once.
+CHUNK = 100_000
 
 
 def read_external(spark: SparkSession, path: str, kind: str | None = None, schema: T.StructType | str | None = None, **options: str) -> DataFrame:
@@ -85,8 +90,17 @@ def kafka_topic(spark: SparkSession, servers: str, topic: str) -> DataFrame:
 
 
 def from_rows(spark: SparkSession, rows: Iterable, schema: T.StructType | str) -> DataFrame:
-    """An iterator as a table."""
-    return spark.createDataFrame(list(rows), schema)
+    """An iterator of any length as a table: beyond CHUNK rows they go to files in the shared folder, a chunk at a time."""
+    rows = iter(rows)
+    first = list(islice(rows, CHUNK))
+    if len(first) < CHUNK:
+        return spark.createDataFrame(first, schema)
+    path = scratch(spark, "rows")
+    while first:
+        chunk = spark.createDataFrame(first, schema)
+        chunk.write.mode("append").parquet(path)
+        first = list(islice(rows, CHUNK))
+    return spark.read.schema(chunk.schema).parquet(path)
 
 
 class NaturalNumbers(DataSource):

@@ -83,8 +83,12 @@ def bucketed_table(df: DataFrame, table: str, keys: list[str], buckets: int) ->
     df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
 
 
+def kafka_records(df: DataFrame, key: str | None = None) -> DataFrame:
+    """What is sent of each row: its JSON as value, and the key column's text, where there is one."""
+    value = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")
+    return df.select(*([F.col(key).cast("string").alias("key")] if key else []), value)
+
+
 def export_kafka(df: DataFrame, servers: str, topic: str, key: str | None = None) -> None:
-    """EXPORT_KAFKA: each row as JSON. Needs Spark's Kafka package on the class path."""
-    value = F.to_json(F.struct(*df.columns)).alias("value")
-    columns = [F.col(key).cast("string").alias("key"), value] if key else [value]
-    df.select(*columns).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+    """EXPORT_KAFKA: the records of kafka_records to a topic. Needs Spark's Kafka package on the class path."""
+    kafka_records(df, key).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
