@@ -2,7 +2,8 @@
 
 Reads and writes null, boolean, int, long, float, double, string, bytes, date, timestamps, arrays, maps with string keys,
 records and optional values, with the codecs null, deflate and zstandard. Files are split at their sync markers, about
-SPLIT_BYTES to a task. Decoding is row by row in Python: prefer Parquet where there is a choice.
+SPLIT_BYTES to a task. Paths are folders that all executors share, or URLs of what pyarrow's file systems know (s3, hdfs,
+gs and others). Decoding is row by row in Python: prefer Parquet where there is a choice, or Spark's own package.
 """
 
 from __future__ import annotations
@@ -10,14 +11,13 @@ from __future__ import annotations
 import datetime as dt
 import io
 import json
-import os
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from pathlib import Path
 from urllib.parse import urlparse
 
+from pyarrow import fs
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -33,11 +33,9 @@ TYPES = [
 ]
 
 
-def local_path(path: str) -> str:
-    url = urlparse(path)
-    if url.scheme not in ("", "file"):
-        raise ValueError(f"this source reads mounted folders only, not {url.scheme}:")
-    return url.path if url.scheme else path
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URL, and the path in it."""
+    return fs.FileSystem.from_uri(path) if urlparse(path).scheme else (fs.LocalFileSystem(), path)
 
 
 def spark_type(schema) -> tuple[T.DataType, bool]:
@@ -189,9 +187,14 @@ def header(f: io.BufferedIOBase) -> tuple[dict[str, bytes], bytes]:
     return meta, f.read(16)
 
 
-def files_of(path: str) -> list[str]:
-    root = Path(local_path(path))
-    return [str(root)] if root.is_file() else sorted(str(p) for p in root.rglob("*.avro") if not p.name.startswith(("_", ".")))
+def files_of(path: str) -> list[tuple[str, int]]:
+    """Name, in its file system, and size of each file below path."""
+    system, root = file_system(path)
+    info = system.get_file_info(root)
+    if info.type == fs.FileType.File:
+        return [(root, info.size)]
+    found = system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
+    return sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and f.base_name.endswith(".avro") and not f.base_name.startswith(("_", ".")))
 
 
 class AvroSource(DataSource):
@@ -205,7 +208,7 @@ class AvroSource(DataSource):
         files = files_of(self.options["path"])
         if not files:
             raise ValueError(f"no .avro files below {self.options['path']}")
-        with open(files[0], "rb") as f:
+        with file_system(self.options["path"])[0].open_input_file(files[0][0]) as f:
             return spark_type(json.loads(header(f)[0]["avro.schema"]))[0]
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
@@ -221,21 +224,20 @@ class AvroReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out = []
-        for name in files_of(self.path):
-            size = os.path.getsize(name)
-            out += [InputPartition((name, low, min(size, low + SPLIT_BYTES))) for low in range(0, size, SPLIT_BYTES)]
+        for name, size in files_of(self.path):
+            out += [InputPartition((name, size, low, min(size, low + SPLIT_BYTES))) for low in range(0, size, SPLIT_BYTES)]
         return out
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         """Blocks whose preceding sync marker ends in (low, high]; the first block belongs to the first split."""
-        name, low, high = partition.value
-        with open(name, "rb") as f:
+        name, size, low, high = partition.value
+        with file_system(self.path)[0].open_input_file(name) as f:
             meta, sync = header(f)
             codec, schema = meta.get("avro.codec", b"null").decode(), json.loads(meta["avro.schema"])
             decode = decoder(schema)
             names = [x["name"] for x in schema["fields"]]
             places = [names.index(n) if n in names else None for n in self.names]
-            first, size = f.tell(), os.path.getsize(name)
+            first = f.tell()
             at = first if low < first else self._after_sync(f, sync, max(low - 16, first - 16))
             while at is not None and at < size and (at <= high or at == first):
                 f.seek(at)
@@ -262,21 +264,20 @@ class AvroReader(DataSourceReader):
 
 
 class AvroWriter(DataSourceWriter):
-    """A file per task, under its final name only when it is complete."""
+    """A file per task, under its final name only when all are complete; an overwrite removes the files before it then."""
 
     def __init__(self, path: str, schema: T.StructType, codec: str, overwrite: bool):
-        self.path, self.codec, self.overwrite = local_path(path), codec, overwrite
+        self.path, self.codec, self.overwrite, self.staging = path, codec, overwrite, f"_{uuid.uuid4().hex}"
         self.schema = avro_schema(schema, False)
-        if overwrite:
-            for f in files_of(self.path) if os.path.isdir(self.path) else []:
-                os.remove(f)
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        os.makedirs(self.path, exist_ok=True)
+        system, folder = file_system(self.path)
+        folder = f"{folder.rstrip('/')}/{self.staging}"
+        system.create_dir(folder, recursive=True)
         encode, sync = encoder(self.schema), uuid.uuid4().bytes
-        hidden = os.path.join(self.path, f".{uuid.uuid4().hex}")
+        hidden = f"{folder}/.{uuid.uuid4().hex}"
         meta = {"avro.schema": json.dumps(self.schema).encode(), "avro.codec": self.codec.encode()}
-        with open(hidden, "wb") as f:
+        with system.open_output_stream(hidden) as f:
             f.write(MAGIC + encoder({"type": "map", "values": "bytes"})(meta) + sync)
             held: list[bytes] = []
 
@@ -294,14 +295,23 @@ class AvroWriter(DataSourceWriter):
         return AvroCommit(hidden)
 
     def commit(self, messages: list) -> None:
+        system, folder = file_system(self.path)
+        before = files_of(self.path) if self.overwrite else []
         for i, m in enumerate(messages):
             if m is not None:
-                os.replace(m.name, os.path.join(self.path, f"part-{i:05d}-{uuid.uuid4().hex[:8]}.avro"))
+                system.move(m.name, f"{folder.rstrip('/')}/part-{i:05d}-{uuid.uuid4().hex[:8]}.avro")
+        for name, _ in before:
+            system.delete_file(name)
+        self._clear()
 
     def abort(self, messages: list) -> None:
-        for m in messages:
-            if m is not None and os.path.exists(m.name):
-                os.remove(m.name)
+        self._clear()
+
+    def _clear(self) -> None:
+        system, folder = file_system(self.path)
+        staging = f"{folder.rstrip('/')}/{self.staging}"
+        if system.get_file_info(staging).type == fs.FileType.Directory:
+            system.delete_dir(staging)
 
 
 class AvroCommit(WriterCommitMessage):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.catalog import Tables
 from millrace.operators.results import ScrollResult, explained, result_batches
-from millrace.plans.statements import execute, procedures
+from millrace.plans.statements import Called, call_statement, execute, procedures
 from millrace.sources import avro
 from millrace.sources import readers as R
 from tests.conftest import rows
@@ -113,3 +113,34 @@ def test_csv_line_ends_and_quotes(spark, tmp_path):
         assert rows(R.import_csv(spark, str(tmp_path / name), schema, escape='"')) == [(1, "a"), (2, 'b,"c"')]
     (tmp_path / "multi").write_bytes(b'1,"two\nlines"\n')
     assert rows(R.import_csv(spark, str(tmp_path / "multi"), schema, multiLine="true")) == [(1, "two\nlines")]
+
+
+def test_avro_overwrite(spark, tmp_path):
+    """An overwrite that fails leaves what was there; one that succeeds replaces it; file URLs are paths too."""
+    spark.dataSource.register(avro.AvroSource)
+    path = f"file://{tmp_path}/a"
+    write = lambda df: df.write.format("avro_files").mode("overwrite").save(path)
+    read = lambda: rows(spark.read.format("avro_files").load(path))
+    write(spark.range(5).repartition(2))
+    with pytest.raises(PySparkException):
+        write(spark.range(10).select(F.when(F.col("id") == 7, F.raise_error(F.lit("no"))).otherwise(F.col("id")).alias("id")))
+    assert read() == [(i,) for i in range(5)]
+    write(spark.range(3))
+    assert read() == [(0,), (1,), (2,)] and not [p.name for p in (tmp_path / "a").iterdir() if not p.name.endswith((".avro", ".crc"))]
+
+
+def test_out_parameters(t):
+    procedures.create("BOTH", lambda t, a, out, b: Called([t.spark.range(a), t.spark.range(b)], {"n": a + b}))
+    done = call_statement(t, "CALL both(2, ?, 3)")
+    assert [s.count() for s in done.sets] == [2, 3] and done.out == {"n": 5}
+    procedures.create("ONLY_OUT", lambda t: Called(out={"x": 1, "y": None}))
+    assert execute(t, "CALL ONLY_OUT()").collect() == [("1", None)]
+
+
+def test_kafka_records_and_statement(t, monkeypatch):
+    from millrace.sources import writers
+
+    sent = []
+    monkeypatch.setattr(writers, "export_kafka", lambda df, servers, topic, key=None: sent.append((rows(writers.kafka_records(df, key)), servers, topic)))
+    execute(t, "EXPORT_KAFKA('host:9092', 'nations', 'n_nationkey') SELECT n_nationkey, nullif(n_regionkey, 0) AS r FROM nation WHERE n_nationkey < 2")
+    assert sent == [([("0", '{"n_nationkey":0,"r":null}'), ("1", '{"n_nationkey":1,"r":1}')], "host:9092", "nations")]
