@@ -23,6 +23,8 @@ from millrace.arrowops import columns_of, group_starts, local_aggregate, narrow_
 MAX_TYPES = 5000
 #: Cells of a block of dense vectors while they are expanded.
 BLOCK_CELLS = 1 << 20
+#: Lines that a task turns into vectors at once.
+LINES = 1 << 19
 #: Cells of sparse vectors that are merged at once.
 MERGE_CELLS = 1 << 20
 #: Cells of a sparse vector; an entity with more gets several, so that a row's size is bounded.
@@ -105,7 +107,7 @@ def _sparse_vectors(events: DataFrame, dictionary: DataFrame, entity: str, kind:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # the purchase and type that the rows so far ended with: it counts once
-        for table in whole_groups(batches, keys):
+        for table in whole_groups(batches, keys, LINES):
             e, b, i, r = columns_of(table, keys)
             (d,) = columns_of(table, ["at"], NO_DAY)
             bn, rn = (table[c].is_null().to_numpy() for c in ("basket", "record"))

@@ -42,7 +42,8 @@ def orphan_references(
         .where("gone_from <= latest OR there_from > earliest OR (undated AND there_from IS NOT NULL)")
         .select("reference", F.lit(False).alias("absent"), "there_from", "gone_from")
     )
-    suspects = missing.unionAll(timed)
+    # Gathered anew: only a join of two shuffled sides is split where it is skewed, and the union keeps its parts' order.
+    suspects = missing.unionAll(timed).hint("rebalance")
     kind = (
         F.when(F.col("absent"), "missing")
         .when(F.col("gone_from") <= F.col("loaded"), "deleted")

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from millrace.operators import features
@@ -52,6 +53,29 @@ def test_against_plain(spark, seed):
     assert rows(got) == plain(data, types)
 
 
+def test_purchases_that_are_cut(spark, monkeypatch):
+    """A purchase whose lines come in several tables, and whose types repeat, counts once per type."""
+    monkeypatch.setattr(features, "LINES", 7)
+    data = sample(300, 5, hot=0.9) + [(1, 10, AS_OF, 1000 + i, 3, "", 0) for i in range(60)]
+    kinds = spark.createDataFrame([(10,), (20,), (30,)], "t int")
+    got = entity_features(spark.createDataFrame(data, SCHEMA).repartition(3), kinds, type_id="t", as_of="2025-12-31", **ARGS)
+    assert rows(got) == plain(data, [10, 20, 30])
+
+
+def test_vectors_of_bounded_size(monkeypatch):
+    """An entity with many types gets several vectors, and one with many vectors is merged as they come."""
+    monkeypatch.setattr(features, "VECTOR_CELLS", 3)
+    monkeypatch.setattr(features, "MERGE_CELLS", 10)
+    e, i = np.repeat([1, 2, 3], [7, 3, 1]), np.r_[np.arange(7), np.arange(3), 5]
+    cells = (e, i, np.ones(11, np.int64), np.ones(11, np.int64), i.astype(np.int64))
+    (batch,) = features._vectors(cells)
+    assert [len(x) for x in batch.column("idx").to_pylist()] == [3, 3, 1, 3, 1] and batch.column("entity").to_pylist() == [1, 1, 1, 2, 3]
+    parts = list(features._flat(iter([batch.slice(0, 3)] * 20 + [batch.slice(3, 1)] * 2 + [batch.slice(4)])))
+    merged = [np.concatenate(c) for c in zip(*parts)]
+    assert len(parts) > 1 and merged[0].tolist() == e.tolist() and merged[1].tolist() == i.tolist()
+    assert merged[2].tolist() == [20] * 7 + [2] * 3 + [1] and merged[4].tolist() == i.tolist()
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     kinds = spark.createDataFrame([(7,)], "t int")

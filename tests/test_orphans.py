@@ -58,3 +58,22 @@ def test_equal_times(spark):
     child = spark.createDataFrame([(1, 1, at(5), None, ""), (2, 2, at(5), None, ""), (3, 3, at(5), None, "")], CHILD)
     parent = spark.createDataFrame([(1, at(0), at(5), 0), (2, at(5), None, 0), (3, at(6), at(9), 0)], PARENT)
     assert rows(orphan_references(child, parent, **ARGS), "record_key", "kind") == [(1, "deleted"), (3, "late")]
+
+
+def test_a_hot_reference_is_split(spark):
+    """A missing reference that most records share: the join back splits its rows over several tasks."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    child = spark.range(0, 40_000, 1, 8).selectExpr("id AS r", "if(id % 10 = 0, id, -1) AS f", "timestamp_ntz'2025-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) AS load", "date'2025-01-01' AS d", "'x' AS kind")
+    parent = spark.range(1000).selectExpr("id * 10 AS k", "timestamp_ntz'2024-01-01 00:00:00' AS load", "cast(null AS timestamp_ntz) AS gone", "0 AS reference")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = orphan_references(child, parent, **ARGS)
+        assert got.count() == 36_000 + 3_000
+        got.collect()
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
