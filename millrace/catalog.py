@@ -45,6 +45,16 @@ def register_views(spark: SparkSession, folder: str, names: list[str] | None = N
         getattr(tables, name).createOrReplaceTempView(name)
 
 
+def table_sizes(tables: Tables, names: list[str]) -> DataFrame:
+    """table_name, n_columns, n_files and n_bytes, from the files' names and sizes: no data is read."""
+    rows = []
+    for n in names:
+        df = getattr(tables, n)
+        files = df.inputFiles()
+        rows.append((n, len(df.columns), len(files), int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))))
+    return tables.spark.createDataFrame(rows, "table_name string, n_columns int, n_files int, n_bytes bigint")
+
+
 def table_columns(tables: Tables, names: list[str]) -> DataFrame:
     """table_name, column_name, position (from 1), data_type and is_nullable, as a database's catalog tables list them."""
     rows = [(n, f.name, i, f.dataType.simpleString(), f.nullable) for n in names for i, f in enumerate(getattr(tables, n).schema.fields, 1)]

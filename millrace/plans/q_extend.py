@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.catalog import Tables, table_columns
+from millrace.catalog import Tables, table_columns, table_sizes
 from millrace.operators import statistics as St
 from millrace.operators import udfs as U
 from millrace.operators.results import materialized, result_batches
@@ -183,6 +183,19 @@ def python_data_source(t: Tables) -> DataFrame:
     return t.spark.read.format("natural_numbers").option("upto", 100).load()
 
 
+@query("data_source_pushdown", "SELECT n FROM range(1000, 1100) r(n) WHERE n % 7 = 0")
+def data_source_pushdown(t: Tables) -> DataFrame:
+    """A data source that takes bounds of the query: of a thousand million numbers it makes a hundred."""
+    t.spark.dataSource.register(R.FilteredNumbers)
+    t.spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return t.spark.read.format("filtered_numbers").option("upto", 10**9).load().where("n >= 1000 AND n < 1100 AND n % 7 = 0")
+
+
+@query("catalog_tables", "SELECT table_name, count(*)::INTEGER AS n_columns, true AS has_size FROM information_schema.columns WHERE table_name IN ('region', 'orders', 'lineitem') GROUP BY 1")
+def catalog_tables(t: Tables) -> DataFrame:
+    return table_sizes(t, ["region", "orders", "lineitem"]).select("table_name", "n_columns", ((F.col("n_bytes") > 0) & (F.col("n_files") > 0)).alias("has_size"))
+
+
 @query("table_from_rows", "SELECT * FROM (VALUES (1::BIGINT, 'x'), (2, 'y')) v(k, s)")
 def table_from_rows(t: Tables) -> DataFrame:
     return R.from_rows(t.spark, iter([(1, "x"), (2, "y")]), "k bigint, s string")

@@ -26,6 +26,7 @@ TUNING = {
     "spark.sql.cbo.joinReorder.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.python.filterPushdown.enabled": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 

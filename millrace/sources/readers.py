@@ -8,7 +8,7 @@ from itertools import islice
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 from millrace.sources.writers import scratch
 
@@ -132,6 +132,39 @@ class _NaturalNumbersReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(range(at + 1, min(at + 10_000, high) + 1), pa.int64())], names=["n"])
 
 
+class FilteredNumbers(NaturalNumbers):
+    """NaturalNumbers that takes conditions on n: only partitions of numbers that can pass are made. Needs the setting
+    spark.sql.python.filterPushdown.enabled."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "filtered_numbers"
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return _FilteredNumbersReader(int(self.options.get("upto", "2048")), int(self.options.get("parts", "4")))
+
+
+class _FilteredNumbersReader(_NaturalNumbersReader):
+    def __init__(self, upto: int, parts: int):
+        super().__init__(upto, parts)
+        self.least, self.most = 1, upto
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Bounds are used up; what else there is stays with Spark."""
+        for f in filters:
+            if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.attribute == ("n",) and isinstance(f.value, int):
+                if not isinstance(f, (LessThan, LessThanOrEqual)):
+                    self.least = max(self.least, f.value + isinstance(f, GreaterThan))
+                if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    self.most = min(self.most, f.value - isinstance(f, LessThan))
+            elif not isinstance(f, IsNotNull):
+                yield f
+
+    def partitions(self) -> list[InputPartition]:
+        many = max(0, self.most - self.least + 1)
+        return [InputPartition((self.least - 1 + i * many // self.parts, self.least - 1 + (i + 1) * many // self.parts)) for i in range(self.parts)] if many else []
+
+
 def from_rdd(rdd, schema: T.StructType | str) -> DataFrame:
     """An RDD of rows as a table."""
     return SparkSession.active().createDataFrame(rdd, schema)

@@ -162,3 +162,15 @@ def test_nearest_before_across_ranges(spark):
     a, b = spark.createDataFrame(left, "k int, t timestamp_ntz, i int").repartition(3), spark.createDataFrame(right, "k int, t timestamp_ntz, v int")
     for width in (60, 3600, 86_400, 10**9):
         assert rows(J.nearest_before(a, b, keys=["k"], at="t", values=["v"], width_s=width)) == sorted(want, key=repr)
+
+
+def test_pushed_bounds():
+    from pyspark.sql.datasource import EqualTo, GreaterThan, IsNotNull, LessThanOrEqual, StringContains
+
+    from millrace.sources.readers import FilteredNumbers
+
+    reader = FilteredNumbers({"upto": "1000", "parts": "3"}).reader(None)
+    other = StringContains(("n",), "5")
+    assert list(reader.pushFilters([IsNotNull(("n",)), GreaterThan(("n",), 10), LessThanOrEqual(("n",), 20), other])) == [other]
+    assert [n for p in reader.partitions() for b in reader.read(p) for n in b.column(0).to_pylist()] == list(range(11, 21))
+    assert list(reader.pushFilters([EqualTo(("n",), 5)])) == [] and reader.partitions() == []
