@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.arrowops import wide_rows
+from millrace.arrowops import narrow_rows, wide_rows
 from millrace.llm.text_encoding import text_encoder
 from millrace.llm.vocabulary import default_path
 from millrace.session import ensure_checkpoint_dir
@@ -253,7 +253,7 @@ def pack_texts(documents: DataFrame, *, key: str = "doc_id", text: str = "text",
                 [pa.array(container, mask=none), b.column(key), b.column("start_token"), b.column("n_tokens"), pa.array(position, mask=none)], names=schema.names
             )
 
-    return numbered.mapInArrow(place, schema)
+    return narrow_rows(numbered).mapInArrow(place, schema)  # the texts have been read
 
 
 def containers(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.arrowops import group_starts, wide_rows
+from millrace.arrowops import group_starts, narrow_rows, wide_rows
 from millrace.llm.text_encoding import code_points, same_spans, span_hashes
 from millrace.llm.vocabulary import marked
 from millrace.session import ensure_checkpoint_dir
@@ -361,7 +361,7 @@ def anomalies(
             score = forest.scores(np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in SHARES], 1))
             yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, (score, score >= forest.threshold, score >= forest.bound))], names=schema.names)
 
-    return stats.mapInArrow(run, schema)
+    return narrow_rows(stats).mapInArrow(run, schema)  # the texts have been read
 
 
 def repeated_texts(documents: DataFrame, *, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
