@@ -50,3 +50,13 @@ def test_events_delivered_again(spark):
     first = [event(m, "a", 1.0, m) for m in range(20)]
     got = E.replayed([spark.createDataFrame(p, SCHEMA) for p in (first, first[15:] + [event(25, "a", 1.0, 25)])], "ts", "30 minutes", lambda s: E.deduplicated(s, ["id"]).select("id"))
     assert rows(got.where("id IS NOT NULL")) == sorted([(i,) for i in [*range(20), 25]], key=repr)
+
+
+def test_many_files(spark, tmp_path, monkeypatch):
+    """More files than a batch takes: the closing row comes after all of them."""
+    for h in range(4):
+        spark.createDataFrame([event(60 * h + m, "a") for m in (1, 2, 15)], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/{h}")
+    path, source = f"{tmp_path}/in/*", spark.read.parquet(f"{tmp_path}/in/*")
+    want = rows(E.drained(path, source, "ts", "1 minute", windows))
+    monkeypatch.setattr(E, "MAX_FILES", 1)
+    assert rows(E.drained(path, source, "ts", "1 minute", windows)) == want and len(want) == 8
