@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.strings import ColumnOrName, _c
@@ -31,6 +31,21 @@ def second_fraction(t: ColumnOrName) -> Column:
     return F.extract(F.lit("SECOND"), _c(t))
 
 
+def second_of(df: DataFrame, name: str, scale: int | None = None, compatibility: str = "") -> Column:
+    """SECOND(x [, scale]) of a time or timestamp column, of a type that the compatibility property decides: without it int
+    for a time and double with the fraction for a timestamp; with "db2" int, or given a scale decimal(2+scale, scale), cut."""
+    kind, exact = df.schema[name].dataType.simpleString(), F.extract(F.lit("SECOND"), F.col(name))
+    if not kind.startswith("time"):
+        raise TypeError(f"SECOND of {kind}")
+    if compatibility.lower() != "db2":
+        if scale is not None:
+            raise TypeError("SECOND takes one operand")
+        return exact.cast("double") if kind.startswith("timestamp") else F.floor(exact).cast("int")
+    if scale is None:
+        return F.floor(exact).cast("int")
+    return (F.floor(exact * 10**scale) / F.lit(10**scale)).cast(f"decimal({2 + scale},{scale})")
+
+
 def timestamp_of(d: ColumnOrName, time: ColumnOrName) -> Column:
     """TIMESTAMP(date, time), time as text HH:mm:ss."""
     return F.to_timestamp_ntz(F.concat_ws(" ", _c(d).cast("string"), _c(time)))

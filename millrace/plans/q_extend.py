@@ -375,6 +375,27 @@ def kafka_record_format(t: Tables) -> DataFrame:
     return W.kafka_records(t.nation.select("n_nationkey", "n_name", F.nullif("n_regionkey", F.lit(0)).alias("region")), "n_nationkey")
 
 
+@query("kafka_records_read", "SELECT c_custkey, c_name, c_acctbal, c_nationkey FROM customer")
+def kafka_records_read(t: Tables) -> DataFrame:
+    """A table sent as records and read back from them."""
+    d = t.customer.select("c_custkey", "c_name", "c_acctbal", "c_nationkey")
+    return W.records_to_rows(W.kafka_records(d, "c_custkey"), d.schema)
+
+
+@query("system_procedures", "SELECT 'property' AS what, '64' AS value UNION ALL SELECT 'tables', '2' UNION ALL SELECT 'level', 'ERROR' UNION ALL SELECT 'cached', 'false'")
+def system_procedures(t: Tables) -> DataFrame:
+    """Properties, statistics of several tables, the level of logging, caches."""
+    name, before = "spark.sql.cteRecursionLevelLimit", t.spark.conf.get("spark.sql.cteRecursionLevelLimit")
+    execute(t, f"CALL SYSCS_UTIL.SET_PROPERTY('{name}', '64')")
+    found = execute(t, f"CALL SYSCS_UTIL.GET_PROPERTY('{name}')").first().value
+    t.spark.conf.set(name, before)
+    tables = execute(t, "CALL SYSCS_UTIL.COLLECT_SCHEMA_STATISTICS('nation,region')").select("table_name").distinct().count()
+    level = execute(t, "CALL SYSCS_UTIL.SET_LOGGER_LEVEL('ERROR')").first().level
+    d = t.nation.persist()
+    execute(t, "CALL SYSCS_UTIL.EMPTY_CACHES()")
+    return t.spark.createDataFrame([("property", found), ("tables", str(tables)), ("level", level), ("cached", str(R.is_pinned(d)).lower())], "what string, value string")
+
+
 @query("transition_tables", "SELECT 'old' AS side, n_nationkey, n_name FROM nation WHERE n_regionkey = 2 OR n_nationkey = 0 UNION ALL SELECT 'new', n_nationkey, upper(n_name || '!') FROM nation WHERE n_regionkey = 2")
 def transition_tables(t: Tables) -> DataFrame:
     """Old and new rows of the changes since a version."""

@@ -182,6 +182,24 @@ def join_anti_nested_loop(t: Tables) -> DataFrame:
     return t.supplier.join(bounded_broadcast(t.region), F.expr("s_nationkey BETWEEN r_regionkey * 6 AND r_regionkey * 6 + 2"), "left_anti").select("s_suppkey")
 
 
+_ONE_ROW = "SELECT o_orderkey, (SELECT c_name FROM {c} WHERE c_custkey = o_custkey) AS name, (SELECT max(r_name) FROM {r}) AS last_region FROM {o}"
+
+
+@query("join_one_row", _ONE_ROW.format(c="customer", o="orders", r="region"))
+def join_one_row(t: Tables) -> DataFrame:
+    """A join with the one row at most that a sub-query gives; two rows are an error."""
+    return t.spark.sql(_ONE_ROW, c=t.customer, o=t.orders, r=t.region)
+
+
+_BOTH_SIDES = "SELECT c_custkey, o_orderkey FROM {c} JOIN {o} ON c_custkey = o_custkey AND EXISTS (SELECT 1 FROM {n} WHERE n_nationkey = c_nationkey AND n_regionkey < o_totalprice / 100000)"
+
+
+@query("join_on_exists_both_sides", _BOTH_SIDES.format(c="customer", o="orders", n="nation"))
+def join_on_exists_both_sides(t: Tables) -> DataFrame:
+    """A sub-query in the ON of an inner join that refers to both sides: run_sql makes it a condition of WHERE."""
+    return run_sql(t, _BOTH_SIDES.format(c="customer", o="orders", n="nation"))
+
+
 @query("join_cogroup_frames", "SELECT coalesce(s_nationkey, c_nationkey) AS nationkey, coalesce(s.best, -1.0) AS best_supplier, coalesce(c.best, -1.0) AS best_customer FROM (SELECT s_nationkey, max(s_acctbal) AS best FROM supplier GROUP BY 1) s FULL JOIN (SELECT c_nationkey, max(c_acctbal) AS best FROM customer GROUP BY 1) c ON s_nationkey = c_nationkey")
 def join_cogroup_frames(t: Tables) -> DataFrame:
     """Any function of the two groups of a key; both sides are combined per key before they meet."""

@@ -86,6 +86,16 @@ def date_extract(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "second_by_property",
+    """SELECT event_id, round(second(ts) + (microsecond(ts) % 1000000) / 1e6, 6)::DOUBLE AS plain, second(ts)::INTEGER AS as_int, round(second(ts) + (microsecond(ts) % 1000000) // 1000 / 1e3, 3)::DOUBLE AS milli FROM events""",
+)
+def second_by_property(t: Tables) -> DataFrame:
+    """SECOND, whose type a property decides."""
+    of = lambda *a: D.second_of(t.events, "ts", *a)
+    return t.events.select("event_id", of().alias("plain"), of(None, "db2").alias("as_int"), of(3, "db2").cast("double").alias("milli"))
+
+
 @query(
     "date_arith",
     """SELECT DISTINCT o_orderdate::DATE AS d, (o_orderdate::DATE + 10) AS plus10, (o_orderdate + INTERVAL 3 MONTH)::DATE AS plus3m, (o_orderdate - INTERVAL 2 YEAR)::DATE AS minus2y,

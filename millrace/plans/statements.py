@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +71,41 @@ procedures = Procedures()
 procedures.create("COLLECT_STATISTICS", collect_statistics)
 
 
+def collect_schema_statistics(t: Tables, tables: str, percent: float = 100) -> DataFrame:
+    """Statistics of several tables, named with commas between, with the table's name."""
+    each = [collect_statistics(t, n.strip(), percent).withColumn("table_name", F.lit(n.strip().lower())) for n in str(tables).split(",")]
+    return reduce(DataFrame.unionByName, each)
+
+
+def set_property(t: Tables, name: str, value: object) -> DataFrame:
+    """A session property; null takes it back."""
+    setting = PROPERTIES.get(name.lower(), name)
+    if value is None:
+        t.spark.conf.unset(setting)
+    else:
+        t.spark.conf.set(setting, str(value))
+    return get_property(t, name)
+
+
+def get_property(t: Tables, name: str) -> DataFrame:
+    return t.spark.createDataFrame([(name, t.spark.conf.get(PROPERTIES.get(name.lower(), name), None))], "name string, value string")
+
+
+def set_logger_level(t: Tables, level: str) -> DataFrame:
+    t.spark.sparkContext.setLogLevel(level.upper())
+    return t.spark.createDataFrame([(level.upper(),)], "level string")
+
+
+def empty_caches(t: Tables) -> DataFrame:
+    """Forget all tables that are kept in memory."""
+    t.spark.catalog.clearCache()
+    return t.spark.createDataFrame([(True,)], "done boolean")
+
+
+for _name, _procedure in {"COLLECT_SCHEMA_STATISTICS": collect_schema_statistics, "SET_PROPERTY": set_property, "GET_PROPERTY": get_property, "SET_LOGGER_LEVEL": set_logger_level, "EMPTY_CACHES": empty_caches}.items():
+    procedures.create(_name, _procedure)
+
+
 def _literal(text: str) -> object:
     text = text.strip()
     if text.lower() in ("null", "?"):

@@ -89,6 +89,11 @@ def kafka_records(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.select(*([F.col(key).cast("string").alias("key")] if key else []), value)
 
 
+def records_to_rows(records: DataFrame, schema: T.StructType | str) -> DataFrame:
+    """The rows of records as kafka_records makes them, whose value is JSON; a value that is none gives a row of nulls."""
+    return records.select(F.from_json(F.col("value").cast("string"), schema).alias("row")).select("row.*")
+
+
 def export_kafka(df: DataFrame, servers: str, topic: str, key: str | None = None) -> None:
     """EXPORT_KAFKA: the records of kafka_records to a topic. Needs Spark's Kafka package on the class path."""
     kafka_records(df, key).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
