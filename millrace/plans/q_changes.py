@@ -12,6 +12,7 @@ from millrace.operators import dml
 from millrace.plans.changes import change_by_sql
 from millrace.plans.sqlfront import run_sql
 from millrace.registry import Registry
+from millrace.sources.adapter import ChangeableSource
 from millrace.sources.table import ChangeableTable, ForeignKey, Trigger, Violation
 from millrace.sources.writers import scratch
 
@@ -101,6 +102,19 @@ def dml_stored_table(t: Tables) -> DataFrame:
     return table.read()
 
 
+@query("table_by_format", "SELECT event_id, ts, event_type, value FROM events UNION ALL SELECT event_id + 1000000, ts, event_type, NULL FROM events WHERE event_type = 'error'")
+def table_by_format(t: Tables) -> DataFrame:
+    """A changeable table written and read as a data source, as an adapter does."""
+    t.spark.dataSource.register(ChangeableSource)
+    d = t.events.select("event_id", "ts", "event_type", "value")
+    table = ChangeableTable.create(t.spark, scratch(t.spark, "table"), d.schema)
+    write = lambda rows, mode: rows.write.format("changeable").mode(mode).save(table.path)
+    write(t.events.limit(5).select(*d.columns), "append")
+    write(d, "overwrite")
+    write(d.where("event_type = 'error'").select((c("event_id") + 1_000_000).alias("event_id"), "ts", "event_type", F.lit(None).cast("double").alias("value")), "append")
+    return t.spark.read.format("changeable").load(table.path)
+
+
 @query("table_time_travel", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def table_time_travel(t: Tables) -> DataFrame:
     """A version before later changes."""

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import shutil
 import tempfile
+import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -42,11 +45,18 @@ def build_session(app: str = "millrace", master: str | None = None, **conf: str)
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, for a cluster on which it is not installed: functions refer to it by name."""
-    root = Path(__file__).resolve().parent
-    folder = tempfile.mkdtemp(prefix="millrace-package-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{root.name}", "zip", root.parent, root.name))
+    """Send this package to the executors, for a cluster on which it is not installed: functions refer to it by name. The
+    archive lies in the checkpoint folder, which all of them share."""
+    root, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for f in sorted(root.rglob("*.py")):
+            archive.write(f, f.relative_to(root.parent))
+    target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{root.name}-{uuid.uuid4().hex}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(target)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

@@ -124,9 +124,12 @@ class _NaturalNumbersReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [InputPartition((i * self.upto // self.parts, (i + 1) * self.upto // self.parts)) for i in range(self.parts)]
 
-    def read(self, partition: InputPartition) -> Iterator:
+    def read(self, partition: InputPartition | None) -> Iterator:
         import pyarrow as pa
 
+        if partition is None:  # there are none
+            return
+
         low, high = partition.value
         for at in range(low, high, 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(range(at + 1, min(at + 10_000, high) + 1), pa.int64())], names=["n"])

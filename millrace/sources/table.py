@@ -77,6 +77,29 @@ class Trigger:
     assign: dict[str, str] = field(default_factory=dict)
 
 
+def manifest_of(text_of: Callable[[int], str], version: int) -> dict:
+    """The manifest of a version with all files: the last full list and the changes since."""
+    last = m = json.loads(text_of(version))
+    changes = []
+    while "files" not in m:
+        changes.append(m)
+        m = json.loads(text_of(m["version"] - 1))
+    files = dict.fromkeys(m["files"])
+    for c in reversed(changes):
+        for f in c["removed"]:
+            del files[f]
+        files |= dict.fromkeys(c["added"])
+    return last | {"files": list(files)}
+
+
+def manifest_text(version: int, manifest: dict, removed: list[str], added: list[str]) -> str:
+    """What is written of a manifest with all files; a whole one ends with a line break."""
+    manifest = manifest | {"version": version, "time": dt.datetime.now(dt.timezone.utc).isoformat(), "removed": removed, "added": added}
+    if version % FULL:
+        del manifest["files"]
+    return json.dumps(manifest) + "\n"
+
+
 class ChangeableTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -126,24 +149,10 @@ class ChangeableTable:
             stream.close()
 
     def _manifest(self, version: int) -> dict:
-        """The manifest with all files: the last full list and the changes since."""
-        last = m = json.loads(self._text(version))
-        changes = []
-        while "files" not in m:
-            changes.append(m)
-            m = json.loads(self._text(m["version"] - 1))
-        files = dict.fromkeys(m["files"])
-        for c in reversed(changes):
-            for f in c["removed"]:
-                del files[f]
-            files |= dict.fromkeys(c["added"])
-        return last | {"files": list(files)}
+        return manifest_of(self._text, version)
 
     def _commit(self, version: int, manifest: dict, removed: list[str], added: list[str]) -> None:
-        manifest = manifest | {"version": version, "time": dt.datetime.now(dt.timezone.utc).isoformat(), "removed": removed, "added": added}
-        if version % FULL:
-            del manifest["files"]
-        self._create(f"{self.path}/versions/{version:09d}.json", json.dumps(manifest) + "\n")
+        self._create(f"{self.path}/versions/{version:09d}.json", manifest_text(version, manifest, removed, added))
 
     def _create(self, path: str, text: str) -> None:
         """Create a file that must not be there: exclusively, as the file system guarantees it."""

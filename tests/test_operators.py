@@ -173,4 +173,4 @@ def test_pushed_bounds():
     other = StringContains(("n",), "5")
     assert list(reader.pushFilters([IsNotNull(("n",)), GreaterThan(("n",), 10), LessThanOrEqual(("n",), 20), other])) == [other]
     assert [n for p in reader.partitions() for b in reader.read(p) for n in b.column(0).to_pylist()] == list(range(11, 21))
-    assert list(reader.pushFilters([EqualTo(("n",), 5)])) == [] and reader.partitions() == []
+    assert list(reader.pushFilters([EqualTo(("n",), 5)])) == [] and reader.partitions() == [] and list(reader.read(None)) == []

@@ -93,3 +93,30 @@ def test_conflict_and_time(spark, tmp_path):
     assert table.read(as_of=moment).count() == 0 and table.read(as_of=dt.datetime.now(dt.timezone.utc)).count() == 1
     with pytest.raises(ValueError):
         table.read(as_of=dt.datetime(2000, 1, 1))
+
+
+def test_adapter(spark, tmp_path):
+    """The data source reads what the table writes, in any version, and the other way round; keys are not its business."""
+    from millrace.sources.adapter import ChangeableSource
+
+    spark.dataSource.register(ChangeableSource)
+    kinds = "k int not null, at timestamp, local timestamp_ntz, day date, n decimal(9,2), a array<int>, b binary, r struct<x:int,y:string>"
+    path = f"{tmp_path}/t"
+    table = ChangeableTable.create(spark, path, spark.createDataFrame([], kinds).schema)
+    when = dt.datetime(2025, 3, 4, 5, 6, 7, 8)
+    one = spark.createDataFrame([(1, when, when, when.date(), None, [1, None], b"x", (1, None)), (2, *[None] * 7)], kinds)
+    table.insert(one)
+    load = lambda **o: spark.read.format("changeable").options(**o).load(path)
+    assert rows(load()) == rows(one) and load().dtypes == one.dtypes
+    one.where("k = 1").write.format("changeable").mode("append").save(path)
+    assert rows(table.read()) == rows(one.unionAll(one.where("k = 1"))) and load(version="1").count() == 2
+    one.where("k = 2").write.format("changeable").mode("overwrite").save(path)
+    assert rows(table.read()) == rows(load()) == rows(one.where("k = 2")) and table.versions() == [0, 1, 2, 3]
+    with pytest.raises(PySparkException):
+        spark.sql("SELECT cast(null AS int) AS k").join(one.drop("k").limit(1)).write.format("changeable").mode("append").save(path)
+    with pytest.raises(PySparkException):
+        one.select("k").write.format("changeable").mode("append").save(path)
+    keyed = ChangeableTable.create(spark, f"{tmp_path}/keyed", SCHEMA, ["k"])
+    with pytest.raises(PySparkException):
+        spark.createDataFrame([], SCHEMA).write.format("changeable").mode("append").save(keyed.path)
+    assert table.versions() == [0, 1, 2, 3] and load(version="0").count() == 0
