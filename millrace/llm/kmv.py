@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.arrowops import group_starts, ints
+from millrace.arrowops import group_starts, ints, wide_rows
 
 #: Hashes per sketch: a relative standard error of 1 / sqrt(K - 2), 1.6 %.
 K = 4096
@@ -88,7 +88,7 @@ def merge_sketches(sketches: DataFrame, keys: list[str], k: int = K) -> DataFram
         return _sketches(parts(batches), keys, k)
 
     schema = _schema(keys)
-    here = sketches.select(*keys, "hashes").mapInArrow(run, schema)
+    here = wide_rows(sketches).select(*keys, "hashes").mapInArrow(run, schema)
     salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))
     some = here.withColumn("salt", salt).repartition(*keys, "salt").drop("salt").mapInArrow(run, schema)
     return (some.repartition(*keys) if keys else some.coalesce(1)).mapInArrow(run, schema)
