@@ -28,7 +28,7 @@ class Called:
 
 Procedure = Callable[..., DataFrame | Called]
 
-#: Session properties of the dialect by Spark's setting.
+#: Session properties of the dialect by Spark's setting.
 PROPERTIES = {"olapshufflepartitions": "spark.sql.shuffle.partitions", "recursivequeryiterationlimit": "spark.sql.cteRecursionLevelLimit", "broadcastthreshold": "spark.sql.autoBroadcastJoinThreshold"}
 
 

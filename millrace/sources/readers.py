@@ -12,7 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from millrace.sources.writers import scratch
 
-#: Storage letters and extensions of external tables by Spark's format.
+#: Storage letters and extensions of external tables by Spark's format.
 FORMATS = {"P": "parquet", "O": "orc", "A": "avro", "T": "csv", "parquet": "parquet", "orc": "orc", "avro": "avro", "csv": "csv", "txt": "csv", "json": "json"}
 CORRUPT = "_corrupt_record"
 #: Rows of an iterator that the driver holds at once.

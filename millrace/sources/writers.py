@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from millrace.session import ensure_checkpoint_dir
 
-#: Quote modes of an export by whether all values are quoted.
+#: Quote modes of an export by whether all values are quoted.
 QUOTE_MODES = {"DEFAULT": False, "MINIMAL": False, "ALWAYS": True, "ALL": True}
 
 
