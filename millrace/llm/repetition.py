@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.arrowops import group_starts, narrow_rows, wide_rows
-from millrace.llm.text_encoding import code_points, same_spans, span_hashes
+from millrace.llm.text_encoding import SpanHashes, code_points, same_spans
 from millrace.llm.vocabulary import marked
 from millrace.session import ensure_checkpoint_dir
 
@@ -95,7 +95,7 @@ def _groups(key: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray
     return group, again
 
 
-def _span_groups(text: np.ndarray, start: np.ndarray, end: np.ndarray, points: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _span_groups(text: np.ndarray, start: np.ndarray, end: np.ndarray, points: np.ndarray, hashes: SpanHashes) -> tuple[np.ndarray, np.ndarray]:
     """_groups of the spans of points, by text."""
 
     def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,11 +105,11 @@ def _span_groups(text: np.ndarray, start: np.ndarray, end: np.ndarray, points: n
         out[of] = same_spans(points, start[a[of]], points, start[b[of]], size[of])
         return out
 
-    key = span_hashes(hashes, start, end) ^ (text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    key = hashes.of(start, end) ^ (text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return _groups(key, same, lambda i: (int(text[i]), points[start[i] : end[i]].tobytes()))
 
 
-def _segments(cut: np.ndarray, points: np.ndarray, hashes: np.ndarray, points_text: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+def _segments(cut: np.ndarray, points: np.ndarray, hashes: SpanHashes, points_text: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
     """Characters in segments between cuts, per text, and those of segments that came earlier in it. Cuts belong to none."""
     inside = ~cut
     edge = np.flatnonzero(np.diff(np.r_[False, inside, False].astype(np.int8)))
@@ -158,7 +158,7 @@ def _statistics(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     at, points = code_points(data)
     sizes = np.diff(np.searchsorted(at, bounds))
     text = np.repeat(np.arange(n), sizes)
-    kind, hashes, stop, points = kinds[points], mixes[points], stops[points], lowers[points]
+    kind, hashes, stop, points = kinds[points], SpanHashes(mixes[points]), stops[points], lowers[points]
 
     begins = kind > 0
     begins[1:] &= (kind[1:] == _SINGLE) | (kind[:-1] != kind[1:]) | (text[1:] != text[:-1])

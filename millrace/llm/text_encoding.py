@@ -36,19 +36,28 @@ def _byte_values() -> np.ndarray:
     return np.random.default_rng(20250101).integers(1, 2**64, 256, dtype=np.uint64)
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span, equal for equal spans; values are uint64 and should be mixed.
+class SpanHashes:
+    """64-bit hashes of values[start:end], equal for equal spans; values are uint64 and should be mixed.
 
     Different spans may have equal hashes, and some texts are made to (Thue-Morse words collide for every base): whoever
     uses the hashes compares the spans, see same_spans.
     """
-    up, down = _powers(max(20, (len(values) + 1).bit_length()))
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
+
+    def __init__(self, values: np.ndarray):
+        up, self.down = _powers(max(20, (len(values) + 1).bit_length()))
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[: len(values)], out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(29))
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """See SpanHashes."""
+    return SpanHashes(values).of(starts, ends)
 
 
 def same_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
