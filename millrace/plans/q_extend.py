@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import tempfile
 import uuid
+from contextlib import suppress
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -277,10 +281,19 @@ def table_from_rdd(t: Tables) -> DataFrame:
 
 @query("jdbc_table", "SELECT n_regionkey AS g, count(*)::INTEGER AS n FROM nation GROUP BY 1")
 def jdbc_table(t: Tables) -> DataFrame:
-    """A query of another database, the small one that comes with Spark."""
-    url, options = f"jdbc:derby:memory:t{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    t.nation.select(F.col("n_nationkey").alias("K"), F.col("n_regionkey").alias("G")).coalesce(1).write.format("jdbc").options(url=url, dbtable="x", **options).save()
-    return R.jdbc_query(t.spark, url, "SELECT g, count(*) AS n FROM x GROUP BY g", **options).toDF("g", "n")
+    """A query of another database, the small one that comes with Spark; in the driver's memory, where no executor reaches it."""
+    url, options = f"jdbc:derby:memory:t{uuid.uuid4().hex}", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    connection = R.jdbc_connection(t.spark, f"{url};create=true", **options)
+    connection.createStatement().execute("CREATE TABLE x (k INT, g INT)")
+    with tempfile.NamedTemporaryFile("w", suffix=".csv") as file:
+        csv.writer(file, lineterminator="\n").writerows(t.nation.select("n_nationkey", "n_regionkey").toLocalIterator())
+        file.flush()
+        connection.createStatement().execute(f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, 'X', '{file.name}', NULL, NULL, NULL, 0)")
+    connection.close()
+    out = R.jdbc_query_by_driver(t.spark, url, "SELECT g, count(*) AS n FROM x GROUP BY g", **options).toDF("g", "n")
+    with suppress(Py4JJavaError):  # that is how this database reports that it is gone
+        R.jdbc_connection(t.spark, f"{url};drop=true", **options)
+    return out
 
 
 @query("bucketed_index", "SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey BETWEEN 100 AND 220")

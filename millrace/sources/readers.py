@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,8 @@ FORMATS = {"P": "parquet", "O": "orc", "A": "avro", "T": "csv", "parquet": "parq
 CORRUPT = "_corrupt_record"
 #: Rows of an iterator that the driver holds at once.
 CHUNK = 100_000
+#: Of rows from a database: bytes that the driver holds at once, and rows by which it adds to them.
+CHUNK_BYTES, GROUP = 32 << 20, 1000
 
 
 def read_external(spark: SparkSession, path: str, kind: str | None = None, schema: T.StructType | str | None = None, **options: str) -> DataFrame:
@@ -83,6 +87,54 @@ def jdbc_query(spark: SparkSession, url: str, query: str, **options: str) -> Dat
     return spark.read.format("jdbc").options(url=url, **source, **options).load()
 
 
+def _jdbc(spark: SparkSession, url: str, query: str, options: dict[str, str]) -> tuple:
+    """Spark's own settings, dialect and connection for a database, on the driver."""
+    jvm = spark._jvm
+    given = jvm.org.apache.spark.sql.execution.datasources.jdbc.JDBCOptions(url, f"({query}) q", jvm.PythonUtils.toScalaMap(options))
+    dialect = jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url)
+    return given, dialect, dialect.createConnectionFactory(given).apply(-1)
+
+
+def jdbc_connection(spark: SparkSession, url: str, **options: str) -> JavaObject:
+    """A java.sql.Connection of the driver's; the caller closes it."""
+    return _jdbc(spark, url, "-", options)[2]
+
+
+def jdbc_query_by_driver(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
+    """jdbc_query for a database that only the driver reaches, such as one embedded in its process. The query runs once, and
+    now; more rows than one chunk holds (CHUNK rows, CHUNK_BYTES) go to files in the shared folder, a chunk at a time."""
+    jvm, schema = spark._jvm, jdbc_query(spark, url, query, **options)._jdf.schema()
+    given, dialect, connection = _jdbc(spark, url, query, options)
+    try:
+        dialect.beforeFetch(connection, jvm.PythonUtils.toScalaMap(options))
+        statement = connection.createStatement()
+        if given.sessionInitStatement().isDefined():
+            statement.execute(given.sessionInitStatement().get())
+        statement.setFetchSize(given.fetchSize())
+        statement.setQueryTimeout(given.queryTimeout())
+        result = statement.executeQuery(f"{given.prepareQuery()}{query}")
+        # rows are made and grouped in the JVM: a call from Python for each value would take most of the time
+        groups = jvm.org.apache.spark.sql.execution.datasources.jdbc.JdbcUtils.resultSetToRows(result, schema, dialect).grouped(min(GROUP, CHUNK))
+        path = None
+        while True:
+            rows, size = jvm.java.util.ArrayList(), 0
+            while rows.size() < CHUNK and size < CHUNK_BYTES and groups.hasNext():
+                group = groups.next()
+                size += jvm.org.apache.spark.util.SizeEstimator.estimate(group)
+                rows.addAll(jvm.scala.jdk.javaapi.CollectionConverters.asJavaCollection(group))
+            chunk, last = DataFrame(spark._jsparkSession.createDataFrame(rows, schema), spark), not groups.hasNext()
+            if path is None and last:
+                return chunk
+            path = path or scratch(spark, "jdbc")
+            chunk.write.mode("append").parquet(path)
+            if last:
+                return spark.read.schema(chunk.schema).parquet(path)
+            rows = group = chunk = None
+            gc.collect()  # Python refers to Java objects in cycles, which would keep every chunk in the driver's memory
+    finally:
+        connection.close()
+
+
 def kafka_topic(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     """All records of a topic from the earliest on, as key, value, partition, offset and ts. Needs Spark's Kafka package."""
     d = spark.read.format("kafka").options(**{"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest", "endingOffsets": "latest"}).load()

@@ -2,6 +2,9 @@
 
 import datetime as dt
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.errors import PySparkException
@@ -104,6 +107,43 @@ def test_jdbc(spark):
     assert parts.rdd.getNumPartitions() == 4 and parts.count() == 100
 
 
+def test_jdbc_by_driver(spark, monkeypatch):
+    """Whatever the number of rows is against the size of a chunk, all of them come, with their types and nulls."""
+    url, options = f"jdbc:derby:memory:t{random.randrange(10**9)}", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    connection = R.jdbc_connection(spark, f"{url};create=true", **options)
+    connection.createStatement().execute("CREATE TABLE x (k BIGINT, d DECIMAL(9,2), s VARCHAR(20), w TIMESTAMP, f DOUBLE, b VARCHAR(4) FOR BIT DATA)")
+    connection.createStatement().execute("INSERT INTO x VALUES (0, NULL, NULL, NULL, NULL, NULL)")
+    for k in range(1, 10):
+        connection.createStatement().execute(f"INSERT INTO x VALUES ({k}, {k}.25, 'it''s {k}', '2024-02-29 23:59:0{k}.000001', {k}e10, X'0{k}ff')")
+    connection.close()
+    for query in ("SELECT * FROM x", "SELECT k, s FROM x WHERE k < 0", "SELECT count(*) AS n, max(w) AS w FROM x"):
+        want = R.jdbc_query(spark, url, query, **options)
+        for chunk in (1, 5, 9, 10, 11, 100):
+            monkeypatch.setattr(R, "CHUNK", chunk)
+            got = R.jdbc_query_by_driver(spark, url, query, **options)
+            assert got.dtypes == want.dtypes and rows(got) == rows(want), (query, chunk)
+    monkeypatch.setattr(R, "CHUNK_BYTES", 1)
+    monkeypatch.setattr(R, "GROUP", 3)
+    got = R.jdbc_query_by_driver(spark, url, "SELECT k FROM x", **options)
+    assert rows(got) == [(k,) for k in range(10)] and len(got.inputFiles()) >= 4  # a chunk per group
+    with pytest.raises(Exception, match="NOWHERE"):
+        R.jdbc_query_by_driver(spark, url, "SELECT * FROM nowhere", **options)
+    with pytest.raises(Exception, match="dropped"):
+        R.jdbc_connection(spark, f"{url};drop=true", **options)
+
+
+def test_jdbc_table_where_executors_are_other_processes(tmp_path):
+    """The database is in the driver's process: executors have none of it."""
+    script = f"""
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+spark = SparkSession.builder.config(map={{"spark.master": "local-cluster[2,1,1024]", "spark.executor.memory": "512m", "spark.ui.enabled": "false", "spark.checkpoint.dir": "file://{tmp_path}"}}).getOrCreate()
+print("found", sorted(map(tuple, entry.queries()["jdbc_table"](spark, "{FOLDER}").collect())))
+"""
+    done = subprocess.run([sys.executable, "-c", script], cwd=Path(__file__).parent.parent, capture_output=True, text=True, timeout=300)
+    assert "found [(0, 5), (1, 5), (2, 5), (3, 5), (4, 5)]" in done.stdout, done.stderr[-2000:]
+
+
 def test_csv_line_ends_and_quotes(spark, tmp_path):
     from pyspark.sql import types as T
 
